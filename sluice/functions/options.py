@@ -1,178 +1,169 @@
-"""Typed reads of the options JSON.
+"""Typed reads of the options JSON, as SQL expressions over whole columns.
 
-Every function returns column expressions, so a whole table is parsed inside
-the JVM. A value and its error travel as two columns; at most one is set.
+A value and its error are two expressions; at most one of them is set.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from sluice.functions.once import first_match, text
 
 # Fixed value: prefix of every malformed-options reason.
 MALFORMED = "malformed event options: "
 
 
-def _kind(value: Column) -> Column:
+def _malformed(reason: str) -> str:
+    return text(MALFORMED + reason)
+
+
+def _kind(value: str) -> str:
     """JSON kind of a variant; absent and JSON null are both VOID."""
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    return f"coalesce(schema_of_variant({value}), 'VOID')"
+
+
+def _field(value: str, key: str, as_type: str = "variant") -> str:
+    return f"try_variant_get({value}, '$.{key}', '{as_type}')"
 
 
-def _is_object(kind: Column) -> Column:
-    return kind.startswith("OBJECT")
+def _kind_of(value: str, key: str) -> str:
+    return _kind(_field(value, key))
 
 
-def _field(value: Column, key: str, as_type: str = "variant") -> Column:
-    return F.try_variant_get(value, f"$.{key}", as_type)
+def _no_object(kind: str) -> str:
+    return f"{kind} NOT LIKE 'OBJECT%' AND {kind} <> 'VOID'"
 
 
-def parse_json_strict(text: Column) -> Column:
+def _no_string(kind: str) -> str:
+    return f"{kind} NOT IN ('STRING', 'VOID')"
+
+
+def parse_json_strict(raw: str) -> str:
     """Variant of exactly one JSON document, else NULL.
 
     The built-in parser stops after the first document and ignores what
     follows. Wrapping the text as an object value refuses a tail that does not
     close the object; the array length refuses one that does.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    return F.when(single, F.try_variant_get(wrapped, "$.v", "variant"))
+    wrapped = f"try_parse_json(concat('{{\"v\":', {raw}, '}}'))"
+    return f"CASE WHEN json_array_length(concat('[', {raw}, ']')) = 1 THEN try_variant_get({wrapped}, '$.v', 'variant') END"
 
 
-def parse_options(raw: Column) -> Column:
-    """First stage: the parsed options document, NULL when empty or invalid."""
-    return F.when(F.octet_length(raw.cast("string")) > 0, parse_json_strict(raw.cast("string")))
+def parse_options(raw: str) -> str:
+    """The parsed options document, NULL when empty or invalid."""
+    return f"CASE WHEN {raw} <> '' THEN {parse_json_strict(raw)} END"
 
 
-def root_error(raw: Column, parsed: Column) -> Column:
+def root_error(raw: str, parsed: str) -> str:
     """Why the options column cannot be used, NULL when it can."""
-    blank = raw.isNull() | (F.octet_length(raw.cast("string")) == 0)
-    kind = _kind(parsed)
-    return (F.when(blank, F.lit(None))
-            .when(parsed.isNull(), F.lit(MALFORMED + "options column must be valid JSON"))
-            .when(~_is_object(kind) & (kind != "VOID"), F.lit(MALFORMED + "options column must be an object")))
+    return first_match(
+        (f"coalesce({raw}, '') = ''", "NULL"),
+        (f"{parsed} IS NULL", _malformed("options column must be valid JSON")),
+        (_no_object(_kind(parsed)), _malformed("options column must be an object")))
 
 
-def section_of(parsed: Column, target: Column, targets: list[str]) -> Column:
+def section_of(parsed: str, target: str, targets: list[str]) -> str:
     """The resolved target's section of the document, whatever its kind."""
-    chain = F.lit(None).cast("variant")
-    for name in targets:
-        chain = F.when(target == name, _field(parsed, name)).otherwise(chain)
-    return chain
+    branches = [(f"{target} = {text(name)}", _field(parsed, name)) for name in targets]
+    return first_match(*branches, otherwise="CAST(NULL AS VARIANT)")
 
 
-def section_error(section: Column, target: Column) -> Column:
-    kind = _kind(section)
-    text = F.concat(F.lit(MALFORMED), target, F.lit(" section must be an object"))
-    return F.when(~_is_object(kind) & (kind != "VOID"), text)
+def section_error(section: str, target: str) -> str:
+    reason = f"concat({_malformed('')}, {target}, ' section must be an object')"
+    return first_match((_no_object(_kind(section)), reason))
 
 
-def string_error(section: Column, key: str) -> Column:
-    kind = _kind(_field(section, key))
-    return F.when((kind != "STRING") & (kind != "VOID"), F.lit(f"{MALFORMED}{key} must be a string"))
+def string_error(section: str, key: str) -> str:
+    return first_match((_no_string(_kind_of(section, key)), _malformed(f"{key} must be a string")))
 
 
-def string_value(section: Column, key: str) -> Column:
+def string_value(section: str, key: str) -> str:
     """Text option; the empty string when absent, null or not text."""
-    is_text = _kind(_field(section, key)) == "STRING"
-    return F.when(is_text, _field(section, key, "string")).otherwise(F.lit(""))
+    return first_match((f"{_kind_of(section, key)} = 'STRING'", _field(section, key, "string")), otherwise="''")
 
 
-def object_error(section: Column, key: str) -> Column:
-    kind = _kind(_field(section, key))
-    return F.when(~_is_object(kind) & (kind != "VOID"), F.lit(f"{MALFORMED}{key} must be an object"))
+def object_error(section: str, key: str) -> str:
+    return first_match((_no_object(_kind_of(section, key)), _malformed(f"{key} must be an object")))
 
 
-def object_value(section: Column, key: str) -> Column:
+def object_value(section: str, key: str) -> str:
     """Object option as map<string,variant>; NULL when absent or no object."""
-    is_obj = _is_object(_kind(_field(section, key)))
-    return F.when(is_obj, _field(section, key, "map<string,variant>"))
+    return first_match((f"{_kind_of(section, key)} LIKE 'OBJECT%'", _field(section, key, "map<string,variant>")))
 
 
-def kept_attributes(attributes: Column) -> Column:
+def kept_attributes(attributes: str) -> str:
     """The text-valued attributes, as map<string,string>."""
-    kept = F.map_filter(attributes, lambda k, v: _kind(v) == "STRING")
-    return F.transform_values(kept, lambda k, v: F.try_variant_get(v, "$", "string"))
+    kept = f"map_filter({attributes}, (k, v) -> {_kind('v')} = 'STRING')"
+    return f"transform_values({kept}, (k, v) -> try_variant_get(v, '$', 'string'))"
 
 
-def dropped_attributes(attributes: Column) -> Column:
+def dropped_attributes(attributes: str) -> str:
     """Sorted names of the attributes that are not text."""
-    return F.array_sort(F.map_keys(F.map_filter(attributes, lambda k, v: _kind(v) != "STRING")))
+    return f"array_sort(map_keys(map_filter({attributes}, (k, v) -> {_kind('v')} <> 'STRING')))"
 
 
 # Fixed value: padded standard base64, once line breaks are gone.
 BASE64_SHAPE = r"\A(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"
 
 
-def strict_base64(text: Column) -> Column:
+def strict_base64(encoded: str) -> str:
     """Decoded bytes, NULL when the text is not padded standard base64."""
-    packed = F.regexp_replace(text, r"[\r\n]", "")
-    return F.when(packed.rlike(BASE64_SHAPE), F.unbase64(packed))
+    packed = rf"regexp_replace({encoded}, '[\\r\\n]', '')"
+    return first_match((f"{packed} RLIKE {text(BASE64_SHAPE)}", f"unbase64({packed})"))
 
 
-def sqs_attribute(value: Column) -> Column:
+def sqs_attribute(value: str) -> str:
     """One native attribute as struct(data_type, string_value, binary_value, error)."""
-    data_kind = _kind(_field(value, "DataType"))
-    text_kind = _kind(_field(value, "StringValue"))
-    binary_kind = _kind(_field(value, "BinaryValue"))
-    data_type = _field(value, "DataType", "string")
-    binary = strict_base64(_field(value, "BinaryValue", "string"))
-    names = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
-    error = (F.when(~_is_object(_kind(value)), F.lit("must be a MessageAttributeValue object"))
-             .when((data_kind != "STRING") & (data_kind != "VOID"), F.lit("DataType must be a string"))
-             .when((data_kind == "VOID") | (data_type == ""), F.lit("DataType is required"))
-             .when((text_kind != "STRING") & (text_kind != "VOID"), F.lit("StringValue must be a string"))
-             .when((binary_kind != "STRING") & (binary_kind != "VOID"), F.lit("BinaryValue must be a string"))
-             .when((binary_kind == "STRING") & binary.isNull(), F.lit("BinaryValue must be base64")))
-    for reserved in ("StringListValues", "BinaryListValues"):
-        error = error.when(F.array_contains(names, reserved),
-                           F.lit(f"{reserved} is reserved by SQS and not supported"))
-    return F.struct(
-        data_type.alias("data_type"),
-        F.when(text_kind == "STRING", _field(value, "StringValue", "string")).alias("string_value"),
-        F.when(binary_kind == "STRING", binary).alias("binary_value"),
-        error.alias("error"),
-    )
-
-
-def sqs_attributes(section: Column) -> Column:
+    type_kind, text_kind, binary_kind = (_kind_of(value, k) for k in ("DataType", "StringValue", "BinaryValue"))
+    data_type, string_value, encoded = (_field(value, k, "string") for k in ("DataType", "StringValue", "BinaryValue"))
+    names = f"map_keys(try_variant_get({value}, '$', 'map<string,variant>'))"
+    error = first_match(
+        (f"{_kind(value)} NOT LIKE 'OBJECT%'", "'must be a MessageAttributeValue object'"),
+        (_no_string(type_kind), "'DataType must be a string'"),
+        (f"coalesce({data_type}, '') = ''", "'DataType is required'"),
+        (_no_string(text_kind), "'StringValue must be a string'"),
+        (_no_string(binary_kind), "'BinaryValue must be a string'"),
+        (f"{binary_kind} = 'STRING' AND {strict_base64(encoded)} IS NULL", "'BinaryValue must be base64'"),
+        *[(f"array_contains({names}, '{k}')", f"'{k} is reserved by SQS and not supported'")
+          for k in ("StringListValues", "BinaryListValues")])
+    kept_text = first_match((f"{text_kind} = 'STRING'", string_value))
+    kept_bytes = first_match((f"{binary_kind} = 'STRING'", strict_base64(encoded)))
+    return f"named_struct('data_type', {data_type}, 'string_value', {kept_text}, 'binary_value', {kept_bytes}, 'error', {error})"
+
+
+def sqs_attributes(section: str) -> str:
     """All native attributes as a map of ``sqs_attribute`` structs."""
-    return F.transform_values(object_value(section, "attributes"), lambda k, v: sqs_attribute(v))
+    return f"transform_values({object_value(section, 'attributes')}, (k, v) -> {sqs_attribute('v')})"
 
 
-def sqs_attributes_error(section: Column, attributes: Column) -> Column:
+def sqs_attributes_error(section: str, attributes: str) -> str:
     """Malformed-attributes reason; with several, that of the smallest name."""
-    bad = F.filter(F.map_entries(attributes), lambda e: e["value"]["error"].isNotNull())
-    first = F.array_min(F.transform(bad, lambda e: F.struct(e["key"], e["value"]["error"])))
-    text = F.concat(F.lit(MALFORMED + "attribute "), first["key"], F.lit(": "), first["error"])
-    return F.coalesce(object_error(section, "attributes"), text)
+    bad = f"filter(map_entries({attributes}), e -> e.value.error IS NOT NULL)"
+    first = f"array_min(transform({bad}, e -> struct(e.key AS name, e.value.error AS error)))"
+    return (f"coalesce({object_error(section, 'attributes')}, "
+            f"concat({_malformed('attribute ')}, {first}.name, ': ', {first}.error))")
 
 
-def delay_error(section: Column) -> Column:
-    kind = _kind(_field(section, "delaySeconds"))
-    number = _field(section, "delaySeconds", "double")
-    numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    whole = F.coalesce((number == F.floor(number)) & number.between(-2147483648.0, 2147483647.0), F.lit(False))
-    return F.when((kind != "VOID") & ~(numeric & whole), F.lit(MALFORMED + "delaySeconds must be an integer"))
+def delay_error(section: str) -> str:
+    kind, number = _kind_of(section, "delaySeconds"), _field(section, "delaySeconds", "double")
+    numeric = f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {kind} LIKE 'DECIMAL%')"
+    whole = f"coalesce({number} = floor({number}) AND {number} BETWEEN -2147483648 AND 2147483647, false)"
+    return first_match((f"{kind} <> 'VOID' AND NOT ({numeric} AND {whole})", _malformed("delaySeconds must be an integer")))
 
 
-def delay_value(section: Column) -> Column:
-    number = _field(section, "delaySeconds", "double")
-    return F.when(delay_error(section).isNull(), number.cast("int"))
+def delay_value(section: str) -> str:
+    return first_match((f"{delay_error(section)} IS NULL", f"CAST({_field(section, 'delaySeconds', 'double')} AS INT)"))
 
 
-def trace_error(section: Column) -> Column:
-    attributes = object_value(section, "messageSystemAttributes")
-    unsupported = (F.size(attributes) > 1) | ((F.size(attributes) == 1) & ~F.map_contains_key(attributes, "AWSTraceHeader"))
-    kind = _kind(_field(section, "messageSystemAttributes.AWSTraceHeader"))
-    header = _field(section, "messageSystemAttributes.AWSTraceHeader", "string")
-    return F.coalesce(
-        object_error(section, "messageSystemAttributes"),
-        F.when(unsupported, F.lit(MALFORMED + "only AWSTraceHeader is supported in messageSystemAttributes"))
-        .when((F.size(attributes) == 1) & (kind != "STRING") & (kind != "VOID"),
-              F.lit(MALFORMED + "AWSTraceHeader must be a string"))
-        .when((F.size(attributes) == 1) & ((kind == "VOID") | (header == "")),
-              F.lit(MALFORMED + "AWSTraceHeader is required")))
+def trace_error(section: str) -> str:
+    path = "messageSystemAttributes"
+    attributes, header = object_value(section, path), f"{path}.AWSTraceHeader"
+    return f"coalesce({object_error(section, path)}, " + first_match(
+        (f"size({attributes}) > 1 OR (size({attributes}) = 1 AND NOT map_contains_key({attributes}, 'AWSTraceHeader'))",
+         _malformed("only AWSTraceHeader is supported in messageSystemAttributes")),
+        (f"size({attributes}) = 1 AND {_no_string(_kind_of(section, header))}", _malformed("AWSTraceHeader must be a string")),
+        (f"size({attributes}) = 1 AND coalesce({_field(section, header, 'string')}, '') = ''",
+         _malformed("AWSTraceHeader is required"))) + ")"
 
 
-def trace_value(section: Column) -> Column:
+def trace_value(section: str) -> str:
     header = _field(section, "messageSystemAttributes.AWSTraceHeader", "string")
-    return F.when(trace_error(section).isNull(), F.coalesce(header, F.lit(""))).otherwise(F.lit(""))
+    return first_match((f"{trace_error(section)} IS NULL", f"coalesce({header}, '')"), otherwise="''")

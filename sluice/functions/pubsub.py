@@ -1,8 +1,8 @@
-"""Pub/Sub message limits as column expressions."""
+"""Pub/Sub message limits as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from sluice.functions.once import first_match, text, texts
 
 # Provider limits, topic syntax and reason texts.
 MAX_DATA_BYTES = 10_000_000
@@ -17,36 +17,32 @@ BAD_TOPIC = "Pub/Sub topic name is syntactically invalid"
 PERMANENT_CODES = ("400", "InvalidArgument", "OutOfRange")
 
 
-def _topic_id_valid(topic_id: Column) -> Column:
-    return ~F.lower(topic_id).startswith("goog") & topic_id.rlike(TOPIC_ID)
+def _reserved(name: str) -> str:
+    return f"startswith(lower({name}), 'goog')"
 
 
-def topic_valid(topic: Column) -> Column:
-    parts = F.split(topic, "/", -1)
-    full_name = ((F.get(parts, F.lit(0)) == "projects") & (F.get(parts, F.lit(1)) != "")
-                 & (F.get(parts, F.lit(2)) == "topics") & _topic_id_valid(F.get(parts, F.lit(3))))
-    return F.when(F.size(parts) == 4, full_name).when(F.size(parts) > 1, F.lit(False)).otherwise(_topic_id_valid(topic))
+def topic_valid(topic: str) -> str:
+    """A bare topic id, or projects/<project>/topics/<topic id>."""
+    topic_id = f"substring_index({topic}, '/', -1)"
+    prefix_ok = f"{topic} NOT LIKE '%/%' OR {topic} RLIKE {text(r'\Aprojects/[^/]+/topics/[^/]*\z')}"
+    return f"(({prefix_ok}) AND {topic_id} RLIKE {text(TOPIC_ID)} AND NOT {_reserved(topic_id)})"
 
 
-def attributes_valid(attributes: Column) -> Column:
-    def entry_valid(e: Column) -> Column:
-        key, value = e["key"], e["value"]
-        return ((key != "") & (F.octet_length(key) <= MAX_KEY_BYTES)
-                & (F.octet_length(value) <= MAX_VALUE_BYTES) & ~F.lower(key).startswith("goog"))
+def attributes_valid(attributes: str) -> str:
+    entry_ok = (f"e.key <> '' AND octet_length(e.key) <= {MAX_KEY_BYTES} "
+                f"AND octet_length(e.value) <= {MAX_VALUE_BYTES} AND NOT {_reserved('e.key')}")
+    return (f"(coalesce(size({attributes}) <= {MAX_ATTRIBUTES}, true) "
+            f"AND coalesce(forall(map_entries({attributes}), e -> {entry_ok}), true))")
 
-    few = F.coalesce(F.size(attributes), F.lit(0)) <= MAX_ATTRIBUTES
-    return few & F.coalesce(F.forall(F.map_entries(attributes), entry_valid), F.lit(True))
 
-
-def poison_reason(topic: Column, data: Column, ordering_key: Column, attributes: Column) -> Column:
+def poison_reason(topic: str, data: str, ordering_key: str, attributes: str) -> str:
     """First limit the message breaks, NULL when it can be published."""
-    data_size = F.coalesce(F.octet_length(data), F.lit(0))
-    no_attributes = attributes.isNull() | (F.size(attributes) == 0)
-    return (F.when(data_size > MAX_DATA_BYTES, F.lit(TOO_LARGE))
-            .when((data_size == 0) & no_attributes & (ordering_key == ""), F.lit(EMPTY_MESSAGE))
-            .when(~attributes_valid(attributes), F.lit(BAD_ATTRIBUTES))
-            .when(~topic_valid(topic), F.lit(BAD_TOPIC)))
+    size = f"coalesce(octet_length({data}), 0)"
+    nothing = f"{size} = 0 AND coalesce(size({attributes}), 0) <= 0 AND {ordering_key} = ''"
+    return first_match(
+        (f"{size} > {MAX_DATA_BYTES}", text(TOO_LARGE)), (nothing, text(EMPTY_MESSAGE)),
+        (f"NOT {attributes_valid(attributes)}", text(BAD_ATTRIBUTES)), (f"NOT {topic_valid(topic)}", text(BAD_TOPIC)))
 
 
-def permanent_error(code: Column) -> Column:
-    return F.coalesce(code.isin(*PERMANENT_CODES), F.lit(False))
+def permanent_error(code: str) -> str:
+    return f"coalesce({code} IN ({texts(PERMANENT_CODES)}), false)"

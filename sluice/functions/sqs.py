@@ -1,8 +1,8 @@
-"""SQS entry limits as column expressions."""
+"""SQS entry limits as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from sluice.functions.once import first_match, text, texts
 
 # Provider limits, id and name syntax, reason texts, error codes.
 MAX_ENTRIES = 10
@@ -29,71 +29,62 @@ URL_ABSOLUTE = (r"\A[Hh][Tt][Tt][Pp][Ss]?://"
                 r"/+[^/?#]")
 
 
-def queue_valid(queue: Column) -> Column:
-    return ((queue != "") & ~queue.rlike(URL_REFUSED)
-            & (~queue.rlike(URL_FIRST_SEGMENT_COLON) | queue.rlike(URL_ABSOLUTE)))
+def queue_valid(queue: str) -> str:
+    return (f"({queue} <> '' AND NOT {queue} RLIKE {text(URL_REFUSED)} "
+            f"AND (NOT {queue} RLIKE {text(URL_FIRST_SEGMENT_COLON)} OR {queue} RLIKE {text(URL_ABSOLUTE)}))")
 
 
-def is_fifo(queue: Column) -> Column:
-    return queue.endswith(".fifo")
+def is_fifo(queue: str) -> str:
+    return f"endswith({queue}, '.fifo')"
 
 
-def text_valid(text: Column) -> Column:
+def text_valid(value: str) -> str:
     """Valid UTF-8 made only of characters the queue service accepts."""
-    return F.is_valid_utf8(text) & ~text.rlike(DISALLOWED_TEXT)
+    return f"(is_valid_utf8({value}) AND NOT {value} RLIKE {text(DISALLOWED_TEXT)})"
 
 
-def message_size(body: Column, attributes: Column) -> Column:
+def message_size(body: str, attributes: str) -> str:
     """Bytes of the body plus each attribute's name, type and value."""
-    def entry_size(total: Column, e: Column) -> Column:
-        value = e["value"]
-        return (total + F.octet_length(e["key"]) + F.octet_length(value["data_type"])
-                + F.coalesce(F.octet_length(value["string_value"]), F.lit(0))
-                + F.coalesce(F.octet_length(value["binary_value"]), F.lit(0)))
-
-    attribute_bytes = F.aggregate(F.map_entries(attributes), F.lit(0), entry_size)
-    return F.octet_length(body) + F.coalesce(attribute_bytes, F.lit(0))
-
-
-def attributes_valid(attributes: Column) -> Column:
-    def entry_valid(e: Column) -> Column:
-        name, value = e["key"], e["value"]
-        kind, text, binary = value["data_type"], value["string_value"], value["binary_value"]
-        lower = F.lower(name)
-        name_ok = (name.rlike(ATTRIBUTE_NAME)
-                   & ~lower.startswith("aws.") & ~lower.startswith("amazon.")
-                   & ~name.startswith(".") & ~name.endswith(".") & ~name.contains(".."))
-        type_ok = F.substring_index(kind, ".", 1).isin("String", "Number", "Binary")
-        value_ok = F.when(kind.startswith("Binary"), binary.isNotNull() & (F.octet_length(binary) > 0) & text.isNull()) \
-            .otherwise(text.isNotNull() & binary.isNull() & (text != "") & text_valid(text))
-        return F.coalesce(name_ok & type_ok & value_ok, F.lit(False))
-
-    few = F.coalesce(F.size(attributes), F.lit(0)) <= MAX_ATTRIBUTES
-    return few & F.coalesce(F.forall(F.map_entries(attributes), entry_valid), F.lit(True))
-
-
-def is_poison(body: Column, attributes: Column, group_id: Column, dedup_id: Column, delay: Column) -> Column:
+    entry = ("n + octet_length(e.key) + octet_length(e.value.data_type) "
+             "+ coalesce(octet_length(e.value.string_value), 0) + coalesce(octet_length(e.value.binary_value), 0)")
+    return f"CAST(octet_length({body}) + coalesce(aggregate(map_entries({attributes}), 0, (n, e) -> {entry}), 0) AS BIGINT)"
+
+
+def attributes_valid(attributes: str) -> str:
+    name_ok = (f"e.key RLIKE {text(ATTRIBUTE_NAME)} AND NOT startswith(lower(e.key), 'aws.') "
+               "AND NOT startswith(lower(e.key), 'amazon.') AND NOT startswith(e.key, '.') AND NOT endswith(e.key, '.') "
+               "AND NOT contains(e.key, '..')")
+    type_ok = "substring_index(e.value.data_type, '.', 1) IN ('String', 'Number', 'Binary')"
+    value_ok = first_match(
+        ("startswith(e.value.data_type, 'Binary')",
+         "e.value.binary_value IS NOT NULL AND octet_length(e.value.binary_value) > 0 AND e.value.string_value IS NULL"),
+        otherwise=("e.value.string_value IS NOT NULL AND e.value.binary_value IS NULL AND e.value.string_value <> '' "
+                   f"AND {text_valid('e.value.string_value')}"))
+    return (f"(coalesce(size({attributes}) <= {MAX_ATTRIBUTES}, true) AND "
+            f"coalesce(forall(map_entries({attributes}), e -> coalesce({name_ok} AND {type_ok} AND {value_ok}, false)), true))")
+
+
+def is_poison(body: str, attributes: str, group_id: str, dedup_id: str, delay: str) -> str:
     """True when the queue service can never accept the entry.
 
     Delay and deduplication id are checked for both queue kinds, also where
     they are not sent.
     """
-    text = body.cast("string")
-    return ((F.coalesce(F.octet_length(body), F.lit(0)) == 0) | ~text_valid(text)
-            | (message_size(body, attributes) > MAX_BYTES)
-            | ~attributes_valid(attributes)
-            | ((group_id != "") & ~group_id.rlike(FIFO_ID))
-            | ((dedup_id != "") & ~dedup_id.rlike(FIFO_ID))
-            | F.coalesce((delay < 0) | (delay > MAX_DELAY_SECONDS), F.lit(False)))
+    body_text = f"CAST({body} AS STRING)"
+    return (f"(coalesce(octet_length({body}), 0) = 0 OR NOT {text_valid(body_text)} "
+            f"OR {message_size(body, attributes)} > {MAX_BYTES} OR NOT {attributes_valid(attributes)} "
+            f"OR ({group_id} <> '' AND NOT {group_id} RLIKE {text(FIFO_ID)}) "
+            f"OR ({dedup_id} <> '' AND NOT {dedup_id} RLIKE {text(FIFO_ID)}) "
+            f"OR coalesce({delay} NOT BETWEEN 0 AND {MAX_DELAY_SECONDS}, false))")
 
 
-def safe_id(value: Column, pattern: str) -> Column:
-    return F.when(value.rlike(pattern), value).otherwise(F.sha2(value, 256))
+def safe_id(value: str, pattern: str) -> str:
+    return first_match((f"{value} RLIKE {text(pattern)}", value), otherwise=f"sha2({value}, 256)")
 
 
-def synthetic_group(event_id: Column, prefix: str) -> Column:
-    return F.concat(F.lit(prefix), F.sha2(event_id, 256))
+def synthetic_group(event_id: str, prefix: str) -> str:
+    return f"concat({text(prefix)}, sha2({event_id}, 256))"
 
 
-def permanent_request_error(code: Column) -> Column:
-    return F.coalesce(code.isin(*PERMANENT_REQUEST_CODES), F.lit(False))
+def permanent_request_error(code: str) -> str:
+    return f"coalesce({code} IN ({texts(PERMANENT_REQUEST_CODES)}), false)"

@@ -2,46 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 from pyspark.sql.types import BinaryType, DataType, StringType, TimestampNTZType, TimestampType
 
+from sluice.functions.once import text
+
 # The accepted timestamp layouts, as shape guards. Spark's own
 # parser would also take bare dates and years.
 RFC3339_SHAPE = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})\z"
 ZONELESS_SHAPE = r"\A\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}([.,]\d+)?\z"
 
 
-def empty_to_null(col: Column) -> Column:
-    return F.nullif(col, F.lit(""))
-
-
-def rfc3339(ts: Column) -> Column:
+def rfc3339(ts: str) -> str:
     """UTC RFC 3339 text with trailing fraction zeros (and a bare dot) removed."""
-    seconds = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.rtrim(F.date_format(ts, "SSSSSS"), F.lit("0"))
-    return F.concat(seconds, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z"))
+    whole = f"date_format({ts}, 'yyyy-MM-dd\\'T\\'HH:mm:ss.SSSSSS')"
+    return f"concat(rtrim('.', rtrim('0', {whole})), 'Z')"
 
 
-def as_text(col: Column, dtype: DataType) -> Column:
+def as_text(col: str, dtype: DataType) -> str:
     """A column value as text; NULL becomes the empty string."""
     if isinstance(dtype, (TimestampType, TimestampNTZType)):
-        return F.coalesce(rfc3339(col), F.lit(""))
-    return F.coalesce(col.cast("string"), F.lit(""))
+        return f"coalesce({rfc3339(col)}, '')"
+    return f"coalesce(CAST({col} AS STRING), '')"
 
 
-def as_bytes(col: Column, dtype: DataType) -> Column:
+def as_bytes(col: str, dtype: DataType) -> str:
     """A column value as bytes; NULL becomes empty bytes."""
     if isinstance(dtype, BinaryType):
-        return F.coalesce(col, F.lit(b""))
-    return as_text(col, dtype).cast("binary")
+        return f"coalesce({col}, X'')"
+    return f"CAST({as_text(col, dtype)} AS BINARY)"
 
 
-def as_timestamp(col: Column, dtype: DataType) -> Column:
+def as_timestamp(col: str, dtype: DataType) -> str:
     """UTC timestamp of a timestamp or text column; NULL when it has none."""
     if isinstance(dtype, (TimestampType, TimestampNTZType)):
-        return col.cast("timestamp")
+        return f"CAST({col} AS TIMESTAMP)"
     if isinstance(dtype, (StringType, BinaryType)):
-        text = F.regexp_replace(col.cast("string"), ",", ".")
-        shaped = F.when(text.rlike(RFC3339_SHAPE) | text.rlike(ZONELESS_SHAPE), text)
-        return F.try_to_timestamp(shaped)
-    return F.lit(None).cast("timestamp")
+        dotted = f"replace(CAST({col} AS STRING), ',', '.')"
+        shaped = f"{dotted} RLIKE {text(RFC3339_SHAPE)} OR {dotted} RLIKE {text(ZONELESS_SHAPE)}"
+        return f"try_to_timestamp(CASE WHEN {shaped} THEN {dotted} END)"
+    return "CAST(NULL AS TIMESTAMP)"

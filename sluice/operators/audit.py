@@ -29,7 +29,7 @@ def audit_duplicates(expected: DataFrame, delivered: DataFrame) -> DataFrame:
 def audit_order(delivered: DataFrame) -> DataFrame:
     """Out-of-order deliveries per key; an adjacent repeat is no violation."""
     keyed = delivered.filter("ordering_key <> ''").select("ordering_key", "body", "arrival")
-    stepped = previous_values(keyed, ["ordering_key"], F.col("arrival"), {"_before": "body"})
+    stepped = previous_values(keyed, ["ordering_key"], "arrival", {"_before": "body"})
     return stepped.groupBy("ordering_key").agg(
         F.count(F.lit(1)).alias("deliveries"), F.count_if(F.col("body") < F.col("_before")).alias("violations"))
 
@@ -39,7 +39,7 @@ def audit_latency(latencies: DataFrame, percentiles: tuple[float, ...] = (0.5, 0
 
     ``latencies`` holds (id, latency_us).
     """
-    ranked = row_numbers(latencies, [], F.struct("latency_us", "id"), "_rn")
+    ranked = row_numbers(latencies, [], "struct(latency_us, id)", "_rn")
     total = latencies.agg(F.count(F.lit(1))).scalar()
 
     def at(p: float) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sluice.config import RelayConfig
 from sluice.operators.ranking import oldest
-from sluice.operators.routing import resolve_routes
+from sluice.operators.routing import with_routes
 
 # Fixed value: probe spacing when no statistics interval is set.
 FALLBACK_INTERVAL = timedelta(seconds=10)
@@ -18,7 +18,7 @@ def backlog_probe(df: DataFrame, cfg: RelayConfig, limit: int | None = None) ->
     """Routable rows among the oldest ``limit``; capped when the limit was hit."""
     limit = cfg.backlog_limit if limit is None else limit
     narrow = df.select(*dict.fromkeys(c for c in (cfg.id_col, cfg.target_col, cfg.destination_col) if c))
-    head = resolve_routes(oldest(narrow, cfg.id_col, limit), cfg)
+    head = with_routes(oldest(narrow, cfg.id_col, limit), cfg)
     counted = head.agg(F.count_if("routable").alias("routable"), F.count(F.lit(1)).alias("scanned"))
     return counted.withColumn("capped", F.col("scanned") >= limit)
 

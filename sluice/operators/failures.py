@@ -7,9 +7,10 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sluice.config import PUBSUB, SQS
+from sluice.functions.once import text
 from sluice.functions.pubsub import permanent_error
 from sluice.functions.sqs import INVALID_QUEUE
 
@@ -17,25 +18,20 @@ BLOCK_WINDOWS = 64
 NEVER = np.iinfo(np.int64).min
 
 
-def _signature(*parts: Column | str) -> Column:
-    return F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
 def rejection_signatures(messages: DataFrame, entries: DataFrame) -> DataFrame:
     """(id, signature) of rows refused before any publish.
 
     Pub/Sub messages over a provider limit are logged unconditionally and so
     have no signature. A bad queue URL is one failure per queue.
     """
-    malformed = F.col("rejected_field").isNotNull()
-    from_pubsub = messages.filter(malformed).select(
-        "id", _signature(PUBSUB, F.col("topic"), F.col("rejected_field"), "malformed-options").alias("signature"))
-    bad_queue = F.col("reason") == INVALID_QUEUE
-    entry_signature = F.when(malformed, _signature(SQS, F.col("queue"), F.col("rejected_field"), "malformed-options")) \
-        .otherwise(_signature(SQS, F.col("queue"), F.col("given_group"), "local-poison"))
-    from_sqs = entries.filter(F.col("reason").isNotNull() & ~bad_queue).select("id", entry_signature.alias("signature"))
-    queues = entries.filter(bad_queue).groupBy("queue").agg(F.min("id").alias("id"))
-    from_queues = queues.select("id", _signature(SQS, F.col("queue"), "invalid-queue-url").alias("signature"))
+    from_pubsub = messages.filter("rejected_field IS NOT NULL").selectExpr(
+        "id", f"concat_ws('|', '{PUBSUB}', topic, rejected_field, 'malformed-options') AS signature")
+    bad_queue = f"reason = {text(INVALID_QUEUE)}"
+    from_sqs = entries.filter(f"reason IS NOT NULL AND NOT {bad_queue}").selectExpr(
+        "id", f"CASE WHEN rejected_field IS NOT NULL THEN concat_ws('|', '{SQS}', queue, rejected_field, 'malformed-options') "
+              f"ELSE concat_ws('|', '{SQS}', queue, given_group, 'local-poison') END AS signature")
+    from_queues = entries.filter(bad_queue).groupBy("queue").agg(F.expr("min(id) AS id")).selectExpr(
+        "id", f"concat_ws('|', '{SQS}', queue, 'invalid-queue-url') AS signature")
     return from_pubsub.unionByName(from_sqs).unionByName(from_queues)
 
 
@@ -44,10 +40,10 @@ def attempt_signatures(messages: DataFrame, attempts: DataFrame) -> DataFrame:
 
     A permanent first failure goes to the isolated retry without a record.
     """
-    failed = attempts.filter(F.col("status") != "ok")
-    quiet = (F.col("attempt") == 1) & (F.col("status") == "error") & permanent_error(F.col("code"))
-    rows = failed.filter(~quiet).join(messages.select("id", "topic", "ordering_key"), "id")
-    return rows.select("id", _signature(PUBSUB, F.col("topic"), F.col("ordering_key"), F.col("message")).alias("signature"))
+    quiet = f"attempt = 1 AND status = 'error' AND {permanent_error('code')}"
+    failed = attempts.filter(f"status <> 'ok' AND NOT ({quiet})").select("id", "message")
+    rows = failed.join(messages.select("id", "topic", "ordering_key"), "id")
+    return rows.selectExpr("id", f"concat_ws('|', '{PUBSUB}', topic, ordering_key, message) AS signature")
 
 
 def failure_signatures(*records: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sluice.config import PUBSUB, SQS, RelayConfig
 from sluice.functions import options as O, pubsub, sqs
+from sluice.functions.once import column, compute_once, first_match, text
 from sluice.functions.values import as_bytes, as_text
 from sluice.operators.ranking import row_numbers
 from sluice.operators.triage import age_micros, event_time
@@ -15,23 +16,16 @@ from sluice.operators.triage import age_micros, event_time
 
 def provider_events(triaged: DataFrame, cfg: RelayConfig) -> DataFrame:
     """Provider-facing view of the dispatched rows."""
-    payload_type = triaged.schema[cfg.payload_col].dataType
-    return triaged.filter("triage = 'dispatch'").select(
-        F.col(cfg.id_col).alias("id"),
-        F.col("resolved_target").alias("target"),
-        F.col("resolved_destination").alias("destination"),
-        as_bytes(F.col(cfg.payload_col), payload_type).alias("payload"),
-        event_time(triaged, cfg).alias("event_time"),
-        F.col("_section"),
-    )
+    payload = as_bytes(column(cfg.payload_col), triaged.schema[cfg.payload_col].dataType)
+    return triaged.filter("triage = 'dispatch'").selectExpr(
+        f"{column(cfg.id_col)} AS id", "resolved_target AS target", "resolved_destination AS destination",
+        f"{payload} AS payload", f"{event_time(triaged, cfg)} AS event_time", "_section")
 
 
 def publish_record(events: DataFrame, now: datetime) -> DataFrame:
     """Latency and size of each event as it is handed to a provider."""
-    return events.select(
-        "id", "target", "destination",
-        (age_micros(F.col("event_time"), now) / 1e6).alias("latency_s"),
-        F.octet_length("payload").cast("bigint").alias("payload_bytes"))
+    return events.selectExpr("id", "target", "destination", f"{age_micros('event_time', now)} / 1e6D AS latency_s",
+                             "CAST(octet_length(payload) AS BIGINT) AS payload_bytes")
 
 
 def pubsub_messages(events: DataFrame) -> DataFrame:
@@ -39,83 +33,76 @@ def pubsub_messages(events: DataFrame) -> DataFrame:
 
     ``rejected_field`` names the option that was malformed, if one was.
     """
-    section = F.col("_section")
-    typed = events.filter(F.col("target") == PUBSUB).select(
-        "id", F.col("destination").alias("topic"), F.col("payload").alias("data"),
-        O.string_value(section, "orderingKey").alias("ordering_key"),
-        O.object_value(section, "attributes").alias("_attributes"),
-        O.string_error(section, "orderingKey").alias("_key_error"),
-        O.object_error(section, "attributes").alias("_attributes_error"))
-    kept = typed.withColumns({"attributes": O.kept_attributes(F.col("_attributes")),
-                              "dropped_attributes": O.dropped_attributes(F.col("_attributes"))})
-    limit = pubsub.poison_reason(F.col("topic"), F.col("data"), F.col("ordering_key"), F.col("attributes"))
-    return kept.select(
-        "id", "topic", "data", "ordering_key", "attributes", "dropped_attributes",
-        F.coalesce("_key_error", "_attributes_error", limit).alias("reason"),
-        F.when(F.col("_key_error").isNotNull(), "orderingKey")
-        .when(F.col("_attributes_error").isNotNull(), "attributes").alias("rejected_field"))
+    sent = events.filter(f"target = '{PUBSUB}'").selectExpr("id", "destination AS topic", "payload AS data", "_section")
+    read = compute_once(sent, ["id", "topic", "data"], {
+        "ordering_key": O.string_value("_section", "orderingKey"),
+        "_attributes": O.object_value("_section", "attributes"),
+        "_key_error": O.string_error("_section", "orderingKey"),
+        "_attributes_error": O.object_error("_section", "attributes")})
+    message = ["id", "topic", "data", "ordering_key"]
+    kept = compute_once(read, [*message, "_key_error", "_attributes_error"], {
+        "attributes": O.kept_attributes("_attributes"), "dropped_attributes": O.dropped_attributes("_attributes")})
+    limit = pubsub.poison_reason("topic", "data", "ordering_key", "attributes")
+    return compute_once(kept, [*message, "attributes", "dropped_attributes"], {
+        "reason": f"coalesce(_key_error, _attributes_error, {limit})",
+        "rejected_field": first_match(("_key_error IS NOT NULL", "'orderingKey'"),
+                                      ("_attributes_error IS NOT NULL", "'attributes'"))})
 
 
 def sqs_entries(events: DataFrame, cfg: RelayConfig) -> DataFrame:
-    """SQS batch entries with the poison reason of those that cannot be sent."""
-    section, event_id = F.col("_section"), F.col("_id_text")
-    id_type = events.schema["id"].dataType
-    typed = events.filter(F.col("target") == SQS).select(
-        "id", F.col("destination").alias("queue"), F.col("payload").alias("body"),
-        sqs.is_fifo(F.col("destination")).alias("fifo"),
-        as_text(F.col("id"), id_type).alias("_id_text"),
-        O.string_value(section, "messageGroupId").alias("_group"),
-        O.string_value(section, "messageDeduplicationId").alias("_dedup"),
-        O.delay_value(section).alias("_delay"),
-        O.trace_value(section).alias("trace_header"),
-        O.sqs_attributes(section).alias("attributes"),
-        section)
+    """SQS batch entries with the poison reason of those that cannot be sent.
+
+    ``given_group`` is the group id of the options, before any synthetic one.
+    """
+    sent = events.filter(f"target = '{SQS}'").selectExpr("id", "destination AS queue", "payload AS body", "_section")
+    read = compute_once(sent, sent.columns, {
+        "fifo": sqs.is_fifo("queue"),
+        "_url_ok": sqs.queue_valid("queue"),
+        "given_group": O.string_value("_section", "messageGroupId"),
+        "_dedup": O.string_value("_section", "messageDeduplicationId"),
+        "_delay": O.delay_value("_section"),
+        "trace_header": O.trace_value("_section"),
+        "attributes": O.sqs_attributes("_section")})
+    # In the order the checks are made: the first error is the reason.
     errors = {
-        "messageGroupId": O.string_error(section, "messageGroupId"),
-        "attributes": O.sqs_attributes_error(section, F.col("attributes")),
-        "messageDeduplicationId": O.string_error(section, "messageDeduplicationId"),
-        "delaySeconds": O.delay_error(section),
-        "messageSystemAttributes": O.trace_error(section),
+        "messageGroupId": O.string_error("_section", "messageGroupId"),
+        "attributes": O.sqs_attributes_error("_section", "attributes"),
+        "messageDeduplicationId": O.string_error("_section", "messageDeduplicationId"),
+        "delaySeconds": O.delay_error("_section"),
+        "messageSystemAttributes": O.trace_error("_section"),
     }
-    checked = typed.withColumns({
-        "_url_ok": sqs.queue_valid(F.col("queue")),
-        "_malformed": F.coalesce(*[F.when(e.isNotNull(), F.struct(F.lit(f).alias("field"), e.alias("error")))
-                                   for f, e in errors.items()])})
-    poison = sqs.is_poison(F.col("body"), F.col("attributes"), F.col("_group"), F.col("_dedup"), F.col("_delay"))
-    fifo = F.col("fifo")
-    group = F.when(fifo & (F.col("_group") == ""), sqs.synthetic_group(event_id, cfg.fifo_group_prefix)) \
-        .otherwise(F.col("_group"))
-    dedup = F.when(~fifo, F.lit("")).when(F.col("_dedup") != "", F.col("_dedup")) \
-        .otherwise(sqs.safe_id(event_id, sqs.FIFO_ID))
-    return checked.select(
-        "id", "queue", "fifo", sqs.safe_id(event_id, sqs.ENTRY_ID).alias("entry_id"), "body", "attributes",
-        group.alias("message_group_id"), dedup.alias("deduplication_id"),
-        F.when(~fifo, F.col("_delay")).alias("delay_seconds"), "trace_header",
-        sqs.message_size(F.col("body"), F.col("attributes")).cast("bigint").alias("message_size"),
-        F.when(~F.col("_url_ok"), F.lit(sqs.INVALID_QUEUE))
-        .otherwise(F.coalesce(F.col("_malformed")["error"], F.when(poison, F.lit(sqs.INVALID_EVENT)))).alias("reason"),
-        F.when(F.col("_url_ok"), F.col("_malformed")["field"]).alias("rejected_field"),
-        F.col("_group").alias("given_group"))
+    found = [f"CASE WHEN ({e}) IS NOT NULL THEN struct({text(field)} AS field, {e} AS error) END" for field, e in errors.items()]
+    checked = compute_once(read, [c for c in read.columns if c != "_section"], {
+        "_malformed": f"CASE WHEN _url_ok THEN coalesce({', '.join(found)}) END",
+        "_poison": sqs.is_poison("body", "attributes", "given_group", "_dedup", "_delay"),
+        "message_size": sqs.message_size("body", "attributes")})
+    event_id = as_text("id", events.schema["id"].dataType)
+    group = first_match(("fifo AND given_group = ''", sqs.synthetic_group(event_id, cfg.fifo_group_prefix)), otherwise="given_group")
+    dedup = first_match(("NOT fifo", "''"), ("_dedup <> ''", "_dedup"), otherwise=sqs.safe_id(event_id, sqs.FIFO_ID))
+    reason = first_match(("NOT _url_ok", text(sqs.INVALID_QUEUE)), ("_malformed IS NOT NULL", "_malformed.error"),
+                         ("_poison", text(sqs.INVALID_EVENT)))
+    return checked.selectExpr(
+        "id", "queue", "fifo", f"{sqs.safe_id(event_id, sqs.ENTRY_ID)} AS entry_id", "body", "attributes",
+        f"{group} AS message_group_id", f"{dedup} AS deduplication_id", "CASE WHEN NOT fifo THEN _delay END AS delay_seconds",
+        "trace_header", "message_size", f"{reason} AS reason", "_malformed.field AS rejected_field", "given_group")
 
 
 def pubsub_order_groups(messages: DataFrame) -> DataFrame:
     """Sendable ordered messages with their place in (topic, ordering key)."""
     ordered = messages.filter("reason IS NULL AND ordering_key <> ''").select("id", "topic", "ordering_key")
-    return row_numbers(ordered, ["topic", "ordering_key"], F.col("id"), "position")
+    return row_numbers(ordered, ["topic", "ordering_key"], "id", "position")
 
 
 def sqs_fifo_sequence(entries: DataFrame) -> DataFrame:
     """Request number of each FIFO entry: one per request, in order, per group."""
     fifo = entries.filter("reason IS NULL AND fifo").select("id", "queue", "message_group_id")
-    return row_numbers(fifo, ["queue", "message_group_id"], F.col("id"), "request_no")
+    return row_numbers(fifo, ["queue", "message_group_id"], "id", "request_no")
 
 
 def prepared(messages: DataFrame, entries: DataFrame) -> DataFrame:
     """Sendable messages of both providers in one layout, for a message table."""
-    from_pubsub = messages.filter("reason IS NULL").select(
-        F.lit(PUBSUB).alias("target"), F.col("topic").alias("destination"), "id",
-        F.col("ordering_key").alias("order_key"), F.col("data").cast("string").alias("body"))
-    from_sqs = entries.filter("reason IS NULL").select(
-        F.lit(SQS).alias("target"), F.col("queue").alias("destination"), "id",
-        F.col("message_group_id").alias("order_key"), F.col("body").cast("string").alias("body"))
+    from_pubsub = messages.filter("reason IS NULL").selectExpr(
+        f"'{PUBSUB}' AS target", "topic AS destination", "id", "ordering_key AS order_key", "CAST(data AS STRING) AS body")
+    from_sqs = entries.filter("reason IS NULL").selectExpr(
+        f"'{SQS}' AS target", "queue AS destination", "id", "message_group_id AS order_key", "CAST(body AS STRING) AS body")
     return from_pubsub.unionByName(from_sqs)

@@ -11,89 +11,89 @@ from __future__ import annotations
 
 from math import isqrt
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sluice.session import slice_count
 
 SLICE = "_slice"
 
 
-def splitters(df: DataFrame, order: Column, slices: int) -> DataFrame:
+def splitters(df: DataFrame, order: str, slices: int) -> DataFrame:
     """One row holding a sorted array of at most ``slices`` ordering values.
 
     Each hash class contributes one value, so the sample follows the data's
     own distribution, works for any type and never changes between
     evaluations. It only places the cuts; every row is still processed.
     """
-    value = df.select(order.alias("_v"))
-    sample = (value.groupBy(F.pmod(F.xxhash64("_v"), F.lit(slices)).alias("_class"))
-              .agg(F.min_by("_v", F.xxhash64(F.lit(17), F.col("_v"))).alias("_v")))
-    return sample.agg(F.array_sort(F.collect_set("_v")).alias("_cuts"))
+    value = df.selectExpr(f"{order} AS _v", f"pmod(xxhash64({order}), {slices}) AS _class")
+    sample = value.groupBy("_class").agg(F.expr("min_by(_v, xxhash64(17, _v)) AS _v"))
+    return sample.agg(F.expr("array_sort(collect_set(_v)) AS _cuts"))
 
 
-def with_slices(df: DataFrame, order: Column, slices: int | None = None) -> DataFrame:
-    """Add the number of the range that each row's ordering value falls in."""
+def with_slices(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
+    """Add the number of the range that each row's ordering value falls in.
+
+    ``order`` is a SQL expression. The lookup is two short scans, first of
+    every n-th cut and then of the cuts that follow it.
+    """
     slices = slices or slice_count(df.sparkSession)
     width = isqrt(slices)
-    cuts = F.col("_cuts")
-    coarse = F.filter(cuts, lambda v, i: (i % width == 0) & (v <= F.col("_at")))
-    start = F.greatest(F.size(coarse) - 1, F.lit(0)) * width
-    fine = F.size(F.filter(F.slice(cuts, start + 1, F.lit(width)), lambda v: v <= F.col("_at")))
-    return (df.withColumn("_cuts", splitters(df, order, slices).scalar())
-            .withColumn("_at", order)
-            .withColumn(SLICE, start + fine)
-            .drop("_cuts", "_at"))
+    placed = df.withColumn("_cuts", splitters(df, order, slices).scalar()).selectExpr("*", f"{order} AS _at")
+    coarse = f"greatest(size(filter(_cuts, (v, i) -> i % {width} = 0 AND v <= _at)) - 1, 0) * {width} AS _start"
+    fine = f"_start + size(filter(slice(_cuts, _start + 1, {width}), v -> v <= _at)) AS {SLICE}"
+    return placed.selectExpr("*", coarse).selectExpr(*[f"`{c}`" for c in df.columns], fine)
 
 
 def _join_back(rows: DataFrame, summaries: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(summaries, [*keys, SLICE], "left")
 
 
-def _across(keys: list[str]):
+def _across(keys: list[str]) -> str:
     """Window over the summary rows of a group: at most one per range."""
-    partition = [F.col(k) for k in keys] or [F.lit(0)]
-    return Window.partitionBy(*partition).orderBy(SLICE)
+    return f"PARTITION BY {', '.join(keys) or '0'} ORDER BY {SLICE}"
+
+
+def _within(keys: list[str], order: str) -> str:
+    return f"PARTITION BY {', '.join([*keys, SLICE])} ORDER BY {order}"
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: Column, out: str, slices: int | None = None) -> DataFrame:
+EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+UP_TO_HERE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def row_numbers(df: DataFrame, keys: list[str], order: str, out: str, slices: int | None = None) -> DataFrame:
     """Position of each row in its group, from 1. Group keys must not be NULL."""
     sliced = with_slices(df, order, slices)
-    local = Window.partitionBy(*keys, SLICE).orderBy(order)
-    before = (sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_before", F.sum("_n").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1)))
-              .filter("_before > 0").drop("_n"))
-    numbered = sliced.withColumn("_local", F.row_number().over(local).cast("bigint"))
-    return (_join_back(numbered, before, keys)
-            .withColumn(out, F.col("_local") + F.coalesce("_before", F.lit(0)))
-            .drop("_local", "_before", SLICE))
+    before = (sliced.groupBy(*keys, SLICE).agg(F.expr("count(*) AS _n"))
+              .selectExpr(*keys, SLICE, f"sum(_n) OVER ({_across(keys)} {EARLIER}) AS _before")
+              .filter("_before > 0"))
+    numbered = sliced.selectExpr("*", f"CAST(row_number() OVER ({_within(keys, order)}) AS BIGINT) AS _local")
+    joined = _join_back(numbered, before, keys)
+    return joined.selectExpr(*[f"`{c}`" for c in df.columns], f"_local + coalesce(_before, 0) AS {out}")
 
 
-def running_sums(df: DataFrame, keys: list[str], order: Column, sums: dict[str, str],
+def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str],
                  slices: int | None = None) -> DataFrame:
     """Inclusive running totals: ``sums`` maps output name to source column."""
     sliced = with_slices(df, order, slices)
-    local = Window.partitionBy(*keys, SLICE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    totals = sliced.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    before = totals.select(*keys, SLICE, *[F.sum(f"_t_{o}").over(earlier).alias(f"_b_{o}") for o in sums])
-    rows = sliced.select("*", *[F.sum(c).over(local).alias(f"_l_{o}") for o, c in sums.items()])
+    totals = sliced.groupBy(*keys, SLICE).agg(*[F.expr(f"sum({c}) AS _t_{o}") for o, c in sums.items()])
+    before = totals.selectExpr(*keys, SLICE, *[f"sum(_t_{o}) OVER ({_across(keys)} {EARLIER}) AS _b_{o}" for o in sums])
+    rows = sliced.selectExpr("*", *[f"sum({c}) OVER ({_within(keys, order)} {UP_TO_HERE}) AS _l_{o}" for o, c in sums.items()])
     joined = _join_back(rows, before, keys)
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        *[(F.coalesce(f"_l_{o}", F.lit(0)) + F.coalesce(f"_b_{o}", F.lit(0))).alias(o) for o in sums])
+    return joined.selectExpr(*[f"`{c}`" for c in df.columns],
+                             *[f"coalesce(_l_{o}, 0) + coalesce(_b_{o}, 0) AS {o}" for o in sums])
 
 
-def previous_values(df: DataFrame, keys: list[str], order: Column, lags: dict[str, str],
+def previous_values(df: DataFrame, keys: list[str], order: str, lags: dict[str, str],
                     slices: int | None = None) -> DataFrame:
     """Value of the preceding row of the group, NULL for its first row."""
     sliced = with_slices(df, order, slices)
-    local = Window.partitionBy(*keys, SLICE).orderBy(order)
-    carried = F.struct(F.lit(True).alias("_present"), *[F.col(c).alias(o) for o, c in lags.items()])
-    last = sliced.groupBy(*keys, SLICE).agg(F.max_by(carried, order).alias("_last"))
-    before = last.select(*keys, SLICE, F.lag("_last").over(_across(keys)).alias("_carry")).filter("_carry IS NOT NULL")
-    rows = sliced.withColumn("_prev", F.lag(carried).over(local))
-    joined = _join_back(rows, before, keys).withColumn("_prev", F.coalesce("_prev", "_carry"))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("_prev")[o].alias(o) for o in lags])
+    carried = "struct(" + ", ".join(f"{c} AS {o}" for o, c in lags.items()) + ")"
+    last = sliced.groupBy(*keys, SLICE).agg(F.expr(f"max_by({carried}, {order}) AS _last"))
+    before = last.selectExpr(*keys, SLICE, f"lag(_last) OVER ({_across(keys)}) AS _carry").filter("_carry IS NOT NULL")
+    rows = sliced.selectExpr("*", f"lag({carried}) OVER ({_within(keys, order)}) AS _prev")
+    joined = _join_back(rows, before, keys)
+    return joined.selectExpr(*[f"`{c}`" for c in df.columns], *[f"coalesce(_prev, _carry).{o} AS {o}" for o in lags])
 
 
 def oldest(df: DataFrame, order: str, limit: int, slices: int | None = None) -> DataFrame:
@@ -104,6 +104,5 @@ def oldest(df: DataFrame, order: str, limit: int, slices: int | None = None) ->
     """
     slices = slices or slice_count(df.sparkSession)
     grouped = df.withColumn(SLICE, F.spark_partition_id() % slices)
-    window = Window.partitionBy(SLICE).orderBy(order)
-    kept = grouped.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= limit)
+    kept = grouped.selectExpr("*", f"row_number() OVER (PARTITION BY {SLICE} ORDER BY {order}) AS _rn").filter(f"_rn <= {limit}")
     return kept.drop(SLICE, "_rn").orderBy(order).limit(limit)

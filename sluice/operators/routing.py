@@ -2,62 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sluice.config import KNOWN_TARGETS, RelayConfig
-from sluice.functions.values import empty_to_null
+from sluice.functions.once import column, first_match, text, texts
 
 ROUTE = ["resolved_target", "resolved_destination"]
-# Past this many owned destinations an IN list gives way to a semi join.
-OWNED_IN_LIST = 200
 
 
-def resolved_target(cfg: RelayConfig) -> tuple[Column, Column]:
+def resolved_target(cfg: RelayConfig) -> tuple[str, str]:
     """Target expression and the predicate that accepts it."""
     targets = [b.target for b in cfg.backends]
-    nothing = F.lit(None).cast("string"), F.lit(False)
+    nothing = "CAST(NULL AS STRING)", "false"
     if not targets:
         return nothing
     if len(targets) == 1:
-        only = F.lit(targets[0])
+        only = text(targets[0])
         if not cfg.target_col:
-            return only, F.lit(True)
-        expr = F.coalesce(empty_to_null(F.col(cfg.target_col)), only)
-        return expr, expr == only
+            return only, "true"
+        expression = f"coalesce(nullif({column(cfg.target_col)}, ''), {only})"
+        return expression, f"{expression} = {only}"
     if not cfg.target_col:
         return nothing
-    expr = empty_to_null(F.col(cfg.target_col))
-    return expr, expr.isin(*targets)
+    expression = f"nullif({column(cfg.target_col)}, '')"
+    return expression, f"{expression} IN ({texts(targets)})"
 
 
-def resolved_destination(cfg: RelayConfig, target: Column) -> Column:
+def resolved_destination(cfg: RelayConfig, target: str) -> str:
     """Own destination of the row, else the default of its target."""
-    default = F.lit("")
-    for backend in reversed(cfg.backends):
-        default = F.when(target == backend.target, F.lit(backend.default_destination)).otherwise(default)
+    branches = [(f"{target} = {text(b.target)}", text(b.default_destination)) for b in cfg.backends]
+    default = first_match(*branches, otherwise="''")
     if not cfg.destination_col:
         return default
-    return F.coalesce(empty_to_null(F.col(cfg.destination_col)), default)
+    return f"coalesce(nullif({column(cfg.destination_col)}, ''), {default})"
 
 
-def ownership(cfg: RelayConfig, target: Column, destination: Column) -> Column:
+def ownership(cfg: RelayConfig, target: str, destination: str) -> str:
     """Allowlist predicate over resolved destinations; backends without a list own all."""
-    allowed = F.lit(True)
-    for backend in cfg.backends:
-        if backend.owned_destinations:
-            allowed = allowed & ((target != backend.target) | destination.isin(*backend.owned_destinations))
-    return allowed
+    limits = [f"({target} <> {text(b.target)} OR {destination} IN ({texts(b.owned_destinations)}))"
+              for b in cfg.backends if b.owned_destinations]
+    return " AND ".join(limits) or "true"
 
 
 def resolve_routes(df: DataFrame, cfg: RelayConfig) -> DataFrame:
-    """Add resolved_target, resolved_destination and the routable verdict."""
+    """Check the table's columns, then add its route columns."""
     cfg.check_columns(df)
+    return with_routes(df, cfg)
+
+
+def with_routes(df: DataFrame, cfg: RelayConfig) -> DataFrame:
+    """Add resolved_target, resolved_destination and the routable verdict."""
     target, accepted = resolved_target(cfg)
-    resolved = df.withColumns({"resolved_target": target, "_accepted": accepted})
-    resolved = resolved.withColumn("resolved_destination", resolved_destination(cfg, F.col("resolved_target")))
-    target, destination = F.col("resolved_target"), F.col("resolved_destination")
-    routable = F.col("_accepted") & (destination != "") & ownership(cfg, target, destination)
-    return resolved.withColumn("routable", F.coalesce(routable, F.lit(False))).drop("_accepted")
+    destination = resolved_destination(cfg, target)
+    verdict = f"({accepted}) AND {destination} <> '' AND {ownership(cfg, target, destination)}"
+    return df.selectExpr("*", f"{target} AS resolved_target", f"{destination} AS resolved_destination",
+                         f"coalesce({verdict}, false) AS routable")
 
 
 def routable_events(df: DataFrame, cfg: RelayConfig) -> DataFrame:
@@ -67,7 +66,7 @@ def routable_events(df: DataFrame, cfg: RelayConfig) -> DataFrame:
     predicate; stating it lets the Parquet reader skip row groups.
     """
     if len(cfg.backends) > 1 and cfg.target_col:
-        df = df.filter(F.col(cfg.target_col).isin(*[b.target for b in cfg.backends]))
+        df = df.filter(f"{column(cfg.target_col)} IN ({texts(b.target for b in cfg.backends)})")
     return resolve_routes(df, cfg).filter("routable").drop("routable")
 
 
@@ -86,22 +85,24 @@ def owned_events(df: DataFrame, cfg: RelayConfig, owned: DataFrame | None = None
     return rows.filter("_listed IS NULL OR _owned").drop("_listed", "_owned")
 
 
-def unroutable_label(cfg: RelayConfig) -> Column:
+def unroutable_label(cfg: RelayConfig) -> str:
     """Why a row is never collected, over the output of ``resolve_routes``."""
     enabled = [b.target for b in cfg.backends]
     disabled = [t for t in KNOWN_TARGETS if t not in enabled]
-    own = empty_to_null(F.col(cfg.target_col)) if cfg.target_col else F.lit(None).cast("string")
-    return (F.when(F.col("routable"), F.lit(None).cast("string"))
-            .when(own.isin(*disabled), F.lit("R7 disabled backend"))
-            .when(own.isNull() & F.lit(len(enabled) != 1), F.lit("R11 ambiguous target"))
-            .when(own.isNotNull() & ~own.isin(*KNOWN_TARGETS), F.lit("R10 unknown target"))
-            .when(F.coalesce("resolved_destination", F.lit("")) == "", F.lit("R12 no destination"))
-            .otherwise(F.lit("not owned")))
+    own = f"nullif({column(cfg.target_col)}, '')" if cfg.target_col else "CAST(NULL AS STRING)"
+    ambiguous = f"{own} IS NULL" if len(enabled) != 1 else "false"
+    return first_match(
+        ("routable", "CAST(NULL AS STRING)"),
+        (f"{own} IN ({texts(disabled)})" if disabled else "false", "'R7 disabled backend'"),
+        (ambiguous, "'R11 ambiguous target'"),
+        (f"{own} NOT IN ({texts(KNOWN_TARGETS)})", "'R10 unknown target'"),
+        ("coalesce(resolved_destination, '') = ''", "'R12 no destination'"),
+        otherwise="'not owned'")
 
 
 def unroutable_audit(df: DataFrame, cfg: RelayConfig) -> DataFrame:
     """Rows per reason among those the relay never collects."""
-    rows = resolve_routes(df, cfg).withColumn("reason", unroutable_label(cfg))
+    rows = resolve_routes(df, cfg).selectExpr(f"{unroutable_label(cfg)} AS reason")
     return rows.filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("events"))
 
 

@@ -35,7 +35,7 @@ def _with_counters(log: DataFrame) -> DataFrame:
 
 def counters_running(log: DataFrame) -> DataFrame:
     """Cumulative counters after each batch."""
-    rows = running_sums(_with_counters(log), [], F.col("batch_no"), {n: f"_{n}" for n in COUNTERS})
+    rows = running_sums(_with_counters(log), [], "batch_no", {n: f"_{n}" for n in COUNTERS})
     return rows.select("batch_no", *COUNTERS)
 
 

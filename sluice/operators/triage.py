@@ -4,57 +4,55 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from sluice.config import RelayConfig
 from sluice.functions import options as O
+from sluice.functions.once import column, compute_once, first_match, instant, micros, text, texts
 from sluice.functions.values import as_timestamp
 
 # Fixed value: reason text of an expired event.
 EXPIRED = "Event expired by MAX_EVENT_AGE_MS"
 
 
-def event_time(df: DataFrame, cfg: RelayConfig) -> Column:
+def event_time(df: DataFrame, cfg: RelayConfig) -> str:
     """Normalised event timestamp; NULL without a timestamp column."""
     if not cfg.timestamp_col or cfg.timestamp_col not in df.columns:
-        return F.lit(None).cast("timestamp")
-    return as_timestamp(F.col(cfg.timestamp_col), df.schema[cfg.timestamp_col].dataType)
+        return "CAST(NULL AS TIMESTAMP)"
+    return as_timestamp(column(cfg.timestamp_col), df.schema[cfg.timestamp_col].dataType)
 
 
-def age_micros(ts: Column, now: datetime) -> Column:
-    return F.unix_micros(F.lit(now)) - F.unix_micros(ts)
+def age_micros(ts: str, now: datetime) -> str:
+    return f"(unix_micros({instant(now)}) - unix_micros({ts}))"
 
 
-def expired(df: DataFrame, cfg: RelayConfig, now: datetime) -> Column:
+def expired(df: DataFrame, cfg: RelayConfig, now: datetime) -> str:
     """Strictly older than the maximum age; no usable timestamp never expires."""
     if not cfg.max_age:
-        return F.lit(False)
-    limit = int(cfg.max_age.total_seconds() * 1_000_000)
-    return F.coalesce(age_micros(event_time(df, cfg), now) > limit, F.lit(False))
-
-
-def invariant_broken(cfg: RelayConfig) -> Column:
-    """A selected row without a route, or whose target has no sender."""
-    target, destination = F.col("resolved_target"), F.col("resolved_destination")
-    return ~(F.coalesce(target.isin(*[b.target for b in cfg.backends]), F.lit(False))
-             & (F.coalesce(destination, F.lit("")) != ""))
+        return "false"
+    return f"coalesce({age_micros(event_time(df, cfg), now)} > {micros(cfg.max_age)}, false)"
 
 
 def scan_invariant(batch: DataFrame, cfg: RelayConfig) -> DataFrame:
-    """One row: selected rows and those that would fail the whole batch."""
-    return batch.agg(F.count(F.lit(1)).alias("selected"), F.count_if(invariant_broken(cfg)).alias("broken"))
+    """One row: selected rows, and those without a route or a sender.
+
+    A single one of the latter fails the whole batch.
+    """
+    sound = f"resolved_target IN ({texts(b.target for b in cfg.backends)}) AND resolved_destination <> ''"
+    return batch.selectExpr("count(*) AS selected", f"count_if(NOT coalesce({sound}, false)) AS broken")
 
 
 def with_sections(df: DataFrame, cfg: RelayConfig) -> DataFrame:
     """Add the target's options section and the structural error, if any."""
     if not cfg.options_col or cfg.options_col not in df.columns:
-        return df.withColumns({"_section": F.lit(None).cast("variant"), "options_error": F.lit(None).cast("string")})
-    raw, target = F.col(cfg.options_col), F.col("resolved_target")
-    parsed = df.withColumn("_parsed", O.parse_options(raw))
-    sectioned = parsed.withColumn("_section", O.section_of(F.col("_parsed"), target, [b.target for b in cfg.backends]))
-    return sectioned.withColumn(
-        "options_error", F.coalesce(O.root_error(raw, F.col("_parsed")), O.section_error(F.col("_section"), target))
-    ).drop("_parsed")
+        return df.selectExpr("*", "CAST(NULL AS VARIANT) AS _section", "CAST(NULL AS STRING) AS options_error")
+    raw = f"CAST({column(cfg.options_col)} AS STRING)"
+    read = compute_once(df, df.columns, {"_parsed": O.parse_options(raw)})
+    sectioned = compute_once(read, read.columns, {
+        "_section": O.section_of("_parsed", "resolved_target", [b.target for b in cfg.backends]),
+        "_root_error": O.root_error(raw, "_parsed")})
+    return sectioned.selectExpr(*[column(c) for c in df.columns], "_section",
+                                f"coalesce(_root_error, {O.section_error('_section', 'resolved_target')}) AS options_error")
 
 
 def triage(df: DataFrame, cfg: RelayConfig, now: datetime) -> DataFrame:
@@ -62,14 +60,13 @@ def triage(df: DataFrame, cfg: RelayConfig, now: datetime) -> DataFrame:
 
     Expiry wins over malformed options. ``now`` is the batch's one clock.
     """
-    rows = with_sections(df, cfg).withColumn("_expired", expired(df, cfg, now))
-    verdict = (F.when(F.col("_expired"), F.lit("expired"))
-               .when(F.col("options_error").isNotNull(), F.lit("malformed")).otherwise(F.lit("dispatch")))
-    reason = F.when(F.col("_expired"), F.lit(EXPIRED)).otherwise(F.col("options_error"))
-    return rows.withColumns({"triage": verdict, "reason": reason}).drop("_expired", "options_error")
+    rows, is_expired = with_sections(df, cfg), expired(df, cfg, now)
+    verdict = first_match((is_expired, "'expired'"), ("options_error IS NOT NULL", "'malformed'"), otherwise="'dispatch'")
+    reason = first_match((is_expired, text(EXPIRED)), otherwise="options_error")
+    return compute_once(rows, [*df.columns, "_section"], {"triage": verdict, "reason": reason})
 
 
 def outbox_lag(batch: DataFrame, cfg: RelayConfig, now: datetime) -> DataFrame:
     """Age in seconds of the first row by id; 0 when empty or without a timestamp."""
-    first = batch.select(cfg.id_col, event_time(batch, cfg).alias("ts")).agg(F.min_by("ts", cfg.id_col).alias("ts"))
-    return first.select(F.greatest(F.lit(0.0), F.coalesce(age_micros(F.col("ts"), now) / 1e6, F.lit(0.0))).alias("lag_s"))
+    first = batch.selectExpr(f"min_by({event_time(batch, cfg)}, {column(cfg.id_col)}) AS ts")
+    return first.selectExpr(f"greatest(0D, coalesce({age_micros('ts', now)} / 1e6D, 0D)) AS lag_s")

@@ -86,10 +86,8 @@ SELECT id, CAST(id AS VARCHAR) AS id_text, coalesce(destination, '') AS destinat
 def _(spark, d):
     df = outbox(spark, d)
     kind = {f.name: f.dataType for f in df.schema}
-    return df.select("id", as_text(F.col("id"), kind["id"]).alias("id_text"),
-                     as_text(F.col("destination"), kind["destination"]).alias("destination_text"),
-                     as_text(F.col("event_ts"), kind["event_ts"]).alias("event_text"),
-                     F.hex(as_bytes(F.col("options"), kind["options"])).alias("options_hex"))
+    texts = [f"{as_text(c, kind[c])} AS {n}_text" for c, n in (("id", "id"), ("destination", "destination"), ("event_ts", "event"))]
+    return df.selectExpr("id", *texts, f"hex({as_bytes('options', kind['options'])}) AS options_hex")
 
 
 @query("eligible_routes", over("routable", """
@@ -169,9 +167,10 @@ WITH texts AS (
     WHEN 3 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f')
     WHEN 4 THEN strftime(ts, '%Y-%m-%d')
     WHEN 5 THEN strftime(ts, '%Y') WHEN 6 THEN '' ELSE 'not-a-time' END AS text FROM events)
-SELECT id, epoch_us(CASE WHEN regexp_matches(text, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?(Z|[+-]\\d{2}:\\d{2})$')
-                           OR regexp_matches(text, '^\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}(\\.\\d+)?$')
-                         THEN CAST(text AS TIMESTAMP) END) AS event_us FROM texts""")
+SELECT id, CASE WHEN regexp_matches(text, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?(Z|[+-]\\d{2}:\\d{2})$')
+                THEN epoch_us(CAST(text AS TIMESTAMPTZ))
+                WHEN regexp_matches(text, '^\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}(\\.\\d+)?$')
+                THEN epoch_us(CAST(text AS TIMESTAMP)) END AS event_us FROM texts""")
 def _(spark, d):
     e = events(spark, d).withColumn("id", F.col("event_id"))
     shapes = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "yyyy-MM-dd HH:mm:ss",
@@ -180,7 +179,7 @@ def _(spark, d):
     for n, shape in enumerate(shapes):
         text = F.when(every(8, n), F.date_format("ts", shape)).otherwise(text)
     texts = e.select("id", text.alias("text"))
-    return texts.select("id", F.unix_micros(as_timestamp(F.col("text"), texts.schema["text"].dataType)).alias("event_us"))
+    return texts.selectExpr("id", f"unix_micros({as_timestamp('text', texts.schema['text'].dataType)}) AS event_us")
 
 
 @query("expired_events", over("outbox", """

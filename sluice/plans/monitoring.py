@@ -30,16 +30,16 @@ def failure_records(spark, d) -> DataFrame:
     return e.select(signature.alias("signature"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"))
 
 
-RECORDS_SQL = """rec AS (SELECT signature, at, id, row_number() OVER (PARTITION BY signature ORDER BY at, id) AS rn
-  FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'pubsub|hot' ELSE 'sqs|q' || CAST(user_id % 7 AS VARCHAR) END AS signature, ts AS at, event_id AS id FROM events) r),
-walk(signature, at) AS (
-  SELECT signature, min(at) FROM rec GROUP BY signature
+RECORDS_SQL = """rec AS (SELECT signature, moment, id, row_number() OVER (PARTITION BY signature ORDER BY moment, id) AS rn
+  FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'pubsub|hot' ELSE 'sqs|q' || CAST(user_id % 7 AS VARCHAR) END AS signature, ts AS moment, event_id AS id FROM events) r),
+walk(signature, moment) AS (
+  SELECT signature, min(moment) FROM rec GROUP BY signature
   UNION ALL
-  SELECT r.signature, min(r.at) FROM walk w JOIN rec r ON r.signature = w.signature AND r.at >= w.at + INTERVAL 1 HOUR GROUP BY r.signature),
-emitted AS (SELECT w.signature, w.at, min(r.id) AS id, min(r.rn) AS rn FROM walk w JOIN rec r ON r.signature = w.signature AND r.at = w.at
-            GROUP BY w.signature, w.at)"""
+  SELECT r.signature, min(r.moment) FROM walk w JOIN rec r ON r.signature = w.signature AND r.moment >= w.moment + INTERVAL 1 HOUR GROUP BY r.signature),
+emitted AS (SELECT w.signature, w.moment, min(r.id) AS id, min(r.rn) AS rn FROM walk w JOIN rec r ON r.signature = w.signature AND r.moment = w.moment
+            GROUP BY w.signature, w.moment)"""
 EMITTED_SQL = over("", """
-SELECT signature, epoch_us(at) AS at_us, id,
+SELECT signature, epoch_us(moment) AS at_us, id,
        rn - coalesce(lag(rn) OVER (PARTITION BY signature ORDER BY rn), rn - 1) - 1 AS suppressed_count FROM emitted""", RECORDS_SQL)
 
 
@@ -81,7 +81,7 @@ def _metrics_sql() -> str:
         "oldest_event_age_seconds": "floor(oldest_age_s * 1000) / 1000", "last_batch_db_seconds": "floor(db_s * 1000) / 1000",
         "last_batch_publish_seconds": "floor(publish_s * 1000) / 1000", "backlog_events": "kept",
         "backlog_floor": "CASE WHEN selected >= 100 THEN 1 ELSE 0 END",
-        "last_successful_batch_timestamp_seconds": "CAST(epoch_ms(committed_at) AS DOUBLE) / 1000"}
+        "last_successful_batch_timestamp_seconds": "CAST(epoch_us(committed_at) // 1000 AS DOUBLE) / 1000"}
     return "\nUNION ALL ".join(totals + [f"SELECT '{n}', 'gauge', CAST({e} AS DOUBLE) FROM last" for n, e in gauges.items()])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sluice.config import PUBSUB
 from sluice.functions import options as O, pubsub, sqs
+from sluice.functions.once import compute_once
 from sluice.operators.routing import routable_events
 from sluice.operators.triage import with_sections
 from sluice.plans.catalog import query
@@ -62,7 +63,7 @@ def sqs_sections(spark, d) -> DataFrame:
     doc = F.lit(None).cast("string")
     for n, (before, after) in enumerate(SQS_SHAPES):
         doc = F.when(every(len(SQS_SHAPES), n), F.concat(F.lit(before), F.col("id").cast("string"), F.lit(after))).otherwise(doc)
-    return e.select("id", O.parse_options(doc).alias("_section"))
+    return compute_once(e.select("id", doc.alias("doc")), ["id"], {"_section": O.parse_options("doc")})
 
 
 @query("options_root", over("outbox", """
@@ -71,17 +72,16 @@ SELECT id, CASE WHEN options IS NULL OR options = '' THEN NULL
                 WHEN left(options, 1) <> '{' THEN 'malformed event options: options column must be an object' END AS error
 FROM outbox"""))
 def _(spark, d):
-    rows = outbox(spark, d).withColumn("_parsed", O.parse_options(F.col("options")))
-    return rows.select("id", O.root_error(F.col("options"), F.col("_parsed")).alias("error"))
+    rows = compute_once(outbox(spark, d), ["id", "options"], {"_parsed": O.parse_options("options")})
+    return rows.selectExpr("id", f"{O.root_error('options', '_parsed')} AS error")
 
 
 @query("options_section", over("triaged", """
 SELECT id, resolved_target AS target, coalesce(json_type(j, '$.' || resolved_target) = 'OBJECT', false) AS present, options_error AS error
 FROM triaged"""))
 def _(spark, d):
-    kind = F.coalesce(F.schema_of_variant("_section"), F.lit("VOID"))
-    return sections(spark, d).select("id", F.col("resolved_target").alias("target"), kind.startswith("OBJECT").alias("present"),
-                                     F.col("options_error").alias("error"))
+    return sections(spark, d).selectExpr("id", "resolved_target AS target",
+                                         "coalesce(schema_of_variant(_section) LIKE 'OBJECT%', false) AS present", "options_error AS error")
 
 
 @query("option_string", over("triaged", """
@@ -90,11 +90,11 @@ SELECT id, CASE WHEN json_type(j, p) = 'VARCHAR' THEN json_extract_string(j, p)
 FROM (SELECT *, CASE resolved_target WHEN 'pubsub' THEN 'orderingKey' ELSE 'messageGroupId' END AS k,
              CASE resolved_target WHEN 'pubsub' THEN '$.pubsub.orderingKey' ELSE '$.sqs.messageGroupId' END AS p FROM triaged) t"""))
 def _(spark, d):
-    section, to_pubsub = F.col("_section"), F.col("resolved_target") == PUBSUB
-    return sections(spark, d).select(
-        "id",
-        F.when(to_pubsub, O.string_value(section, "orderingKey")).otherwise(O.string_value(section, "messageGroupId")).alias("value"),
-        F.when(to_pubsub, O.string_error(section, "orderingKey")).otherwise(O.string_error(section, "messageGroupId")).alias("error"))
+    def by_target(read) -> str:
+        to_pubsub, to_sqs = (read("_section", key) for key in ("orderingKey", "messageGroupId"))
+        return f"CASE WHEN resolved_target = '{PUBSUB}' THEN {to_pubsub} ELSE {to_sqs} END"
+
+    return sections(spark, d).selectExpr("id", f"{by_target(O.string_value)} AS value", f"{by_target(O.string_error)} AS error")
 
 
 @query("option_object", over("triaged", """
@@ -102,7 +102,7 @@ SELECT id, CAST(CASE WHEN json_type(j, '$.pubsub.attributes') = 'OBJECT' THEN le
 FROM triaged WHERE resolved_target = 'pubsub'"""))
 def _(spark, d):
     rows = sections(spark, d).filter(F.col("resolved_target") == PUBSUB)
-    return rows.select("id", F.size(O.object_value(F.col("_section"), "attributes")).cast("bigint").alias("entries"))
+    return rows.selectExpr("id", f"CAST(size({O.object_value('_section', 'attributes')}) AS BIGINT) AS entries")
 
 
 @query("sanitize_attributes", over("triaged", """
@@ -111,14 +111,14 @@ SELECT id, json_extract_string(j, '$.pubsub.attributes.type') AS kept_type,
 FROM triaged WHERE resolved_target = 'pubsub' AND json_type(j, '$.pubsub.attributes') = 'OBJECT'"""))
 def _(spark, d):
     rows = sections(spark, d).filter(F.col("resolved_target") == PUBSUB)
-    rows = rows.select("id", O.object_value(F.col("_section"), "attributes").alias("_a")).filter("_a IS NOT NULL")
-    return rows.select("id", F.try_element_at(O.kept_attributes(F.col("_a")), F.lit("type")).alias("kept_type"),
-                       F.array_join(O.dropped_attributes(F.col("_a")), ",").alias("dropped"))
+    rows = compute_once(rows, ["id"], {"_a": O.object_value("_section", "attributes")}).filter("_a IS NOT NULL")
+    return rows.selectExpr("id", f"try_element_at({O.kept_attributes('_a')}, 'type') AS kept_type",
+                           f"array_join({O.dropped_attributes('_a')}, ',') AS dropped")
 
 
 @query("sqs_attributes", over("", "SELECT id, name, data_type, string_value, hex(binary_value) AS binary_hex, error FROM parsed", SECTION_VIEW))
 def _(spark, d):
-    rows = sqs_sections(spark, d).select("id", F.explode(O.sqs_attributes(F.col("_section"))).alias("name", "a"))
+    rows = sqs_sections(spark, d).selectExpr("id", f"explode({O.sqs_attributes('_section')}) AS (name, a)")
     return rows.select("id", "name", "a.data_type", "a.string_value", F.hex("a.binary_value").alias("binary_hex"), "a.error")
 
 
@@ -127,9 +127,9 @@ SELECT id, json_extract_string(a, '$.BinaryValue') AS text,
        CASE WHEN length(json_extract_string(a, '$.BinaryValue')) % 4 = 0 THEN hex(from_base64(json_extract_string(a, '$.BinaryValue'))) END AS decoded
 FROM named WHERE json_type(a, '$.BinaryValue') = 'VARCHAR'""", SECTION_VIEW))
 def _(spark, d):
-    rows = sqs_sections(spark, d).select("id", F.explode(O.object_value(F.col("_section"), "attributes")).alias("name", "a"))
+    rows = sqs_sections(spark, d).selectExpr("id", f"explode({O.object_value('_section', 'attributes')}) AS (name, a)")
     rows = rows.select("id", F.try_variant_get("a", "$.BinaryValue", "string").alias("text")).filter("text IS NOT NULL")
-    return rows.select("id", "text", F.hex(O.strict_base64(F.col("text"))).alias("decoded"))
+    return rows.selectExpr("id", "text", f"hex({O.strict_base64('text')}) AS decoded")
 
 
 @query("sqs_delay_seconds", over("", """
@@ -139,9 +139,8 @@ FROM (SELECT id, number, json_type(doc, '$.delaySeconds') IN ('UBIGINT', 'BIGINT
       FROM (SELECT id, doc, CAST(json_extract_string(doc, '$.delaySeconds') AS DOUBLE) AS number FROM sections) n
       WHERE json_type(doc, '$.delaySeconds') IS NOT NULL) s""", SECTION_VIEW))
 def _(spark, d):
-    section = F.col("_section")
-    rows = sqs_sections(spark, d).filter(F.try_variant_get(section, "$.delaySeconds", "variant").isNotNull())
-    return rows.select("id", O.delay_value(section).cast("bigint").alias("delay_seconds"), O.delay_error(section).alias("error"))
+    rows = sqs_sections(spark, d).filter("try_variant_get(_section, '$.delaySeconds', 'variant') IS NOT NULL")
+    return rows.selectExpr("id", f"CAST({O.delay_value('_section')} AS BIGINT) AS delay_seconds", f"{O.delay_error('_section')} AS error")
 
 
 @query("sqs_trace_header", over("", """
@@ -152,9 +151,8 @@ SELECT id, CASE WHEN id % 13 = 10 THEN json_extract_string(doc, '$.messageSystem
             THEN 'malformed event options: AWSTraceHeader is required' END AS error
 FROM sections WHERE json_type(doc, '$.messageSystemAttributes') = 'OBJECT'""", SECTION_VIEW))
 def _(spark, d):
-    section = F.col("_section")
-    rows = sqs_sections(spark, d).filter(F.try_variant_get(section, "$.messageSystemAttributes", "variant").isNotNull())
-    return rows.select("id", O.trace_value(section).alias("trace_header"), O.trace_error(section).alias("error"))
+    rows = sqs_sections(spark, d).filter("try_variant_get(_section, '$.messageSystemAttributes', 'variant') IS NOT NULL")
+    return rows.selectExpr("id", f"{O.trace_value('_section')} AS trace_header", f"{O.trace_error('_section')} AS error")
 
 
 TOPICS = ["abc", "topic-1", "ab", "1topic", "googtopic", "bad/topic", "projects/project-a/topics/topic-1",
@@ -180,7 +178,7 @@ SELECT id, topic, CASE WHEN len(parts) = 4 THEN parts[1] = 'projects' AND parts[
 FROM (SELECT event_id AS id, {_pick_sql(TOPICS)} AS topic, string_split({_pick_sql(TOPICS)}, '/') AS parts FROM events) t""")
 def _(spark, d):
     rows = events(spark, d).select(F.col("event_id").alias("id"), _pick(TOPICS).alias("topic"))
-    return rows.select("id", "topic", pubsub.topic_valid(F.col("topic")).alias("valid"))
+    return rows.selectExpr("id", "topic", f"{pubsub.topic_valid('topic')} AS valid")
 
 
 @query("pubsub_attributes_valid", """
@@ -193,9 +191,10 @@ def _(spark, d):
     name = F.when(every(13), "").when(every(11), "GoogX").otherwise(F.repeat(F.lit("k"), (250 + F.col("id") % 9).cast("int")))
     first = F.create_map(name, F.repeat(F.lit("v"), (1020 + F.col("id") % 8).cast("int")))
     keys = (F.col("user_id") % 110).cast("int")
-    rest = F.when(keys > 1, F.transform(F.sequence(F.lit(2), keys), lambda i: F.struct(F.concat(F.lit("a"), i.cast("string")), F.lit("x")))) \
+    rest = F.when(keys > 1, F.transform(F.sequence(F.lit(2), keys), lambda i: F.struct(F.concat(F.lit("a"), i.cast("string")).alias("k"), F.lit("x").alias("v")))) \
         .otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<k: STRING, v: STRING>>)"))
-    return e.select("id", pubsub.attributes_valid(F.map_concat(first, F.map_from_entries(rest))).alias("valid"))
+    rows = compute_once(e.select("id", F.map_concat(first, F.map_from_entries(rest)).alias("m")), ["id"], {"attributes": "m"})
+    return rows.selectExpr("id", f"{pubsub.attributes_valid('attributes')} AS valid")
 
 
 @query("pubsub_poison", over("messages", "SELECT id, reason FROM messages WHERE reason IS NOT NULL AND rejected_field IS NULL"))
@@ -212,7 +211,7 @@ FROM (SELECT event_id AS id, props || CASE event_id % 7 WHEN 0 THEN '' WHEN 1 TH
 def _(spark, d):
     tails = ["", "\x01", "\t\n\r", "￾", "\U0001f600", "\x1f", ""]
     rows = events(spark, d).select(F.col("event_id").alias("id"), F.concat("props", _pick(tails)).alias("text"))
-    return rows.select("id", sqs.text_valid(F.col("text")).alias("valid"))
+    return rows.selectExpr("id", f"{sqs.text_valid('text')} AS valid")
 
 
 @query("sqs_message_size", over("", """
@@ -224,7 +223,8 @@ WHERE s.id % 13 IN (0, 1, 7, 8, 10)""", SECTION_VIEW))
 def _(spark, d):
     shaped = sqs_sections(spark, d).join(events(spark, d).select(F.col("event_id").alias("id"), "props"), "id")
     rows = shaped.filter((F.col("id") % 13).isin(0, 1, 7, 8, 10))
-    return rows.select("id", sqs.message_size(F.col("props").cast("binary"), O.sqs_attributes(F.col("_section"))).cast("bigint").alias("message_size"))
+    rows = compute_once(rows, ["id", "props"], {"attributes": O.sqs_attributes("_section")})
+    return rows.selectExpr("id", f"{sqs.message_size('props', 'attributes')} AS message_size")
 
 
 @query("sqs_attributes_valid", over("", """
@@ -235,7 +235,8 @@ SELECT id, bool_and(regexp_matches(name, '^[A-Za-z0-9_.-]{1,256}$') AND NOT star
 FROM parsed WHERE id % 13 IN (0, 1, 7, 8) GROUP BY id""", SECTION_VIEW))
 def _(spark, d):
     rows = sqs_sections(spark, d).filter((F.col("id") % 13).isin(0, 1, 7, 8))
-    return rows.select("id", sqs.attributes_valid(O.sqs_attributes(F.col("_section"))).alias("valid"))
+    rows = compute_once(rows, ["id"], {"attributes": O.sqs_attributes("_section")})
+    return rows.selectExpr("id", f"{sqs.attributes_valid('attributes')} AS valid")
 
 
 @query("sqs_poison", over("entries", "SELECT id, reason FROM entries WHERE reason IS NOT NULL AND rejected_field IS NULL"))
@@ -252,7 +253,7 @@ FROM (SELECT event_id AS id, event_id % {len(QUEUES)} AS n, {_pick_sql(QUEUES)}
 def _(spark, d):
     suffix = F.when(every(len(QUEUES), 3, "event_id"), "").otherwise(F.col("user_id").cast("string"))
     rows = events(spark, d).select(F.col("event_id").alias("id"), F.concat(_pick(QUEUES), suffix).alias("queue"))
-    return rows.select("id", "queue", sqs.queue_valid(F.col("queue")).alias("valid"))
+    return rows.selectExpr("id", "queue", f"{sqs.queue_valid('queue')} AS valid")
 
 
 @query("sqs_safe_ids", """
@@ -266,6 +267,6 @@ def _(spark, d):
     text = F.col("id").cast("string")
     raw = F.when(every(4), text).when(every(4, 1), F.concat(F.lit("a b"), text)).when(every(4, 2), F.concat(F.lit("k/"), text)) \
         .otherwise(F.repeat(F.lit("x"), (78 + F.col("id") % 60).cast("int")))
-    return e.select("id", raw.alias("raw")).select(
-        "id", sqs.safe_id(F.col("raw"), sqs.ENTRY_ID).alias("entry_id"), sqs.safe_id(F.col("raw"), sqs.FIFO_ID).alias("fifo_id"),
-        sqs.synthetic_group(F.col("raw"), CONFIG.fifo_group_prefix).alias("fifo_group"))
+    return e.select("id", raw.alias("raw")).selectExpr(
+        "id", f"{sqs.safe_id('raw', sqs.ENTRY_ID)} AS entry_id", f"{sqs.safe_id('raw', sqs.FIFO_ID)} AS fifo_id",
+        f"{sqs.synthetic_group('raw', CONFIG.fifo_group_prefix)} AS fifo_group")

@@ -110,12 +110,12 @@ def _(spark, d):
 
 
 @query("sqs_isolation_plan", over("entries", """
-SELECT id, queue, chunk_no, entries, CASE WHEN chunk_no % 7 <> 0 THEN 'keep' WHEN entries = 1 THEN 'poison' ELSE 'isolate' END AS action,
-       CASE WHEN chunk_no % 7 = 0 AND entries = 1 THEN 'invalid characters' END AS reason
+SELECT id, queue, chunk_no, entries, CASE WHEN chunk_no % 3 <> 0 THEN 'keep' WHEN entries = 1 THEN 'poison' ELSE 'isolate' END AS action,
+       CASE WHEN chunk_no % 3 = 0 AND entries = 1 THEN 'invalid characters' END AS reason
 FROM (SELECT id, queue, chunk_no, count(*) OVER (PARTITION BY queue, chunk_no) AS entries
       FROM (SELECT id, queue, (row_number() OVER (PARTITION BY queue ORDER BY id) - 1) // 10 + 1 AS chunk_no
             FROM entries WHERE reason IS NULL AND NOT fifo) c) s
-WHERE chunk_no % 7 = 0 OR chunk_no % 11 = 0"""))
+WHERE chunk_no % 3 = 0 OR chunk_no % 5 = 0"""))
 def _(spark, d):
     chunks = C.chunks_by_count(entries(spark, d).filter("reason IS NULL AND NOT fifo"))
     return X.sqs_isolation_plan(chunks, request_errors(chunks))

@@ -29,26 +29,21 @@ def every(n: int, remainder: int = 0, col: str = "id") -> Column:
 
 def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outbox rows with empty payloads, bad topics, broken options and unknown targets."""
-    e, kind = events(spark, sf_dir).withColumn("id", F.col("event_id")), F.col("event_type")
-    user = F.col("user_id").cast("string")
-    queue = F.concat(F.lit("https://sqs.example/1/q"), (F.col("user_id") % 3).cast("string"))
-    options = F.concat(
-        F.lit('{"pubsub":{"orderingKey":"user-'), user, F.lit('","attributes":{"type":"'), kind, F.lit('","n":'),
-        (F.col("id") % 7).cast("string"), F.lit('}},"sqs":{"messageGroupId":"user-'), user,
-        F.lit('","delaySeconds":'), (F.col("id") % 950).cast("string"), F.lit("}}"))
-    return e.select(
-        "id", F.col("ts").cast("timestamp").alias("event_ts"),
-        F.when(every(97), "").otherwise(F.col("props")).alias("payload"),
-        F.when(kind.isin("click", "view"), PUBSUB).when(kind == "purchase", SQS).when(kind == "signup", "")
-        .when(every(2), SQS).otherwise("kafka").alias("target"),
-        F.when(every(5), F.lit(None))
-        .when(kind.isin("click", "view") & every(53), "bad/topic")
-        .when(kind.isin("click", "view"), F.concat(F.lit("topic-"), kind))
-        .when(F.col("user_id") % 2 == 0, F.concat(queue, F.lit(".fifo"))).otherwise(queue).alias("destination"),
-        F.when(every(11), F.lit(None)).when(every(101), "{bad").when(every(103), "[]")
-        .when(every(107), '{"pubsub":[],"sqs":[]}')
-        .when(every(109), '{"pubsub":{"orderingKey":42},"sqs":{"messageGroupId":42}}')
-        .otherwise(options).alias("options"))
+    options = """concat('{"pubsub":{"orderingKey":"user-', user_id, '","attributes":{"type":"', event_type, '","n":', event_id % 7,
+        '}},"sqs":{"messageGroupId":"user-', user_id, '","delaySeconds":', event_id % 950, '}}')"""
+    queue = "concat('https://sqs.example/1/q', user_id % 3)"
+    to_topic = "event_type IN ('click', 'view')"
+    return events(spark, sf_dir).selectExpr(
+        "event_id AS id", "CAST(ts AS TIMESTAMP) AS event_ts",
+        "CASE WHEN event_id % 97 = 0 THEN '' ELSE props END AS payload",
+        f"CASE WHEN {to_topic} THEN 'pubsub' WHEN event_type = 'purchase' THEN 'sqs' WHEN event_type = 'signup' THEN '' "
+        "WHEN event_id % 2 = 0 THEN 'sqs' ELSE 'kafka' END AS target",
+        f"CASE WHEN event_id % 5 = 0 THEN NULL WHEN {to_topic} AND event_id % 53 = 0 THEN 'bad/topic' "
+        f"WHEN {to_topic} THEN concat('topic-', event_type) WHEN user_id % 2 = 0 THEN concat({queue}, '.fifo') ELSE {queue} END AS destination",
+        "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 101 = 0 THEN '{bad' WHEN event_id % 103 = 0 THEN '[]' "
+        """WHEN event_id % 107 = 0 THEN '{"pubsub":[],"sqs":[]}' """
+        """WHEN event_id % 109 = 0 THEN '{"pubsub":{"orderingKey":42},"sqs":{"messageGroupId":42}}' """
+        f"ELSE {options} END AS options")
 
 
 def attempts(messages: DataFrame) -> DataFrame:
@@ -84,8 +79,8 @@ def responses(entries: DataFrame) -> DataFrame:
 
 def request_errors(chunks: DataFrame) -> DataFrame:
     """Failed SQS requests among the chunks."""
-    requests = chunks.select("queue", "chunk_no").distinct().filter(every(7, 0, "chunk_no") | every(11, 0, "chunk_no"))
-    permanent = every(7, 0, "chunk_no")
+    requests = chunks.select("queue", "chunk_no").distinct().filter(every(3, 0, "chunk_no") | every(5, 0, "chunk_no"))
+    permanent = every(3, 0, "chunk_no")
     return requests.select("queue", "chunk_no",
                            F.when(permanent, "InvalidMessageContents").otherwise("ServiceUnavailable").alias("code"),
                            F.when(permanent, "invalid characters").otherwise("try later").alias("message"))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.config import SQS
-from sluice.functions.values import empty_to_null
+from sluice.functions.once import first_match, instant
 
 EXPLODE_ROWS = 10_000
 
@@ -18,13 +18,11 @@ def produce_events(events: DataFrame, now: datetime) -> DataFrame:
     Empty route columns become NULL; an ordering key becomes the options of
     its provider.
     """
-    key = F.col("ordering_key")
-    as_sqs = F.to_json(F.struct(F.struct(key.alias("messageGroupId")).alias("sqs")))
-    as_pubsub = F.to_json(F.struct(F.struct(key.alias("orderingKey")).alias("pubsub")))
-    options = F.when(F.coalesce(key, F.lit("")) == "", F.lit(None)) \
-        .when(F.col("target") == SQS, as_sqs).otherwise(as_pubsub)
-    return events.select(F.lit(now).alias("timestamp"), "payload", empty_to_null(F.col("target")).alias("target"),
-                         empty_to_null(F.col("destination")).alias("destination"), options.alias("options"))
+    as_sqs = "to_json(struct(struct(ordering_key AS messageGroupId) AS sqs))"
+    as_pubsub = "to_json(struct(struct(ordering_key AS orderingKey) AS pubsub))"
+    options = first_match(("coalesce(ordering_key, '') = ''", "NULL"), (f"target = '{SQS}'", as_sqs), otherwise=as_pubsub)
+    return events.selectExpr(f"{instant(now)} AS timestamp", "payload", "nullif(target, '') AS target",
+                             "nullif(destination, '') AS destination", f"{options} AS options")
 
 
 def uniform_count(total: Column, index: Column, parts: Column) -> Column:

@@ -62,9 +62,9 @@ def _first_emits(times: np.ndarray, window: int) -> np.ndarray:
 def _summarise(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     """How one block of a signature's history maps incoming to outgoing silence.
 
-    Silence carried into a block ends within its first window, so only the
-    instants of that window and the next one can be the block's first emission.
-    Neighbours that lead to the same last emission are merged.
+    Silence carried into a block ends within a window of its first instant, so
+    only the instants of that window and the next one can be the block's first
+    emission. Neighbours that lead to the same last emission are merged.
     """
     pdf = pdf.sort_values("at")
     times, counts = pdf["at"].to_numpy(), pdf["n"].to_numpy()
@@ -74,8 +74,7 @@ def _summarise(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     while (jump[:size] < size).any():
         last = np.where(jump[:size] < size, last[np.minimum(jump[:size], size - 1)], last)
         jump = jump[jump]
-    start = int(pdf["block"].iloc[0]) * window * BLOCK_WINDOWS
-    width = min(size, int(np.searchsorted(times, start + window, side="left")) + 1)
+    width = min(size, int(np.searchsorted(times, times[0] + window, side="left")) + 1)
     ends = last[:width]
     kept = np.append(ends[1:] != ends[:-1], True)
     total = np.cumsum(counts)

@@ -8,7 +8,7 @@ from sluice.operators import chunks as C, outcomes as X, settle
 from sluice.plans.catalog import query
 from sluice.plans.messaging import entries, messages, triaged
 from sluice.plans.sqltext import over
-from sluice.plans.testdata import CONFIG, NOW, attempts, events, every, outbox, request_errors, responses
+from sluice.plans.testdata import CONFIG, NOW, attempts, outbox, request_errors, responses
 from sluice.sources.outbox import pending
 from sluice.sources.tables import read_dead_letters
 
@@ -23,11 +23,10 @@ def reports(spark, d) -> DataFrame:
     m, e = messages(spark, d), entries(spark, d)
     conclusive = X.pubsub_outcomes(m, attempts(m)).select("id", "outcome", "reason").unionByName(
         X.sqs_outcomes(e, responses(e)).select("id", "outcome", "reason")).filter("outcome IS NOT NULL")
-    first = conclusive.withColumn("seq", F.col("id") * 3)
-    repeat = conclusive.filter(every(7)).select(
-        "id", F.lit(X.POISON).alias("outcome"), F.lit("late").alias("reason"), (F.col("id") * 3 + 1).alias("seq"))
-    foreign = conclusive.filter(every(11)).select((F.col("id") + 1_000_000_000).alias("id"), "outcome", "reason", (F.col("id") * 3 + 2).alias("seq"))
-    return first.unionByName(repeat).unionByName(foreign)
+    copies = """filter(array(struct(id AS as_id, id * 3 AS seq, outcome AS said, reason AS why),
+        CASE WHEN id % 7 = 0 THEN struct(id AS as_id, id * 3 + 1 AS seq, 'poison' AS said, 'late' AS why) END,
+        CASE WHEN id % 11 = 0 THEN struct(id + 1000000000 AS as_id, id * 3 + 2 AS seq, outcome AS said, reason AS why) END), c -> c IS NOT NULL)"""
+    return conclusive.selectExpr(f"inline({copies})").withColumnsRenamed({"as_id": "id", "said": "outcome", "why": "reason"})
 
 
 def settled_rows(spark, d) -> DataFrame:

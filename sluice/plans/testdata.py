@@ -48,61 +48,45 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(messages: DataFrame) -> DataFrame:
     """Publish attempts of sendable Pub/Sub messages, with retries of permanent errors."""
-    ids = messages.filter("reason IS NULL").select("id")
-    none = F.lit(None).cast("string")
-
-    def attempt(n: int, status: Column, code: Column, message: Column) -> DataFrame:
-        return rows.select("id", (F.col("id") * 2 + n).alias("seq"), F.lit(n).alias("attempt"), status.alias("status"),
-                           code.alias("code"), message.alias("message"), F.lit(False).alias("sender_fault"))
-
-    permanent = every(17) & ~every(31)
-    rows = ids
-    first = attempt(1, F.when(every(31), "deadline").when(every(17) | every(13), "error").otherwise("ok"),
-                    F.when(every(31), none).when(every(17), "400").when(every(13), "503"),
-                    F.when(every(31), "deadline exceeded").when(every(17), "bad request").when(every(13), "unavailable"))
-    rows = ids.filter(permanent)
-    second = attempt(2, F.when(every(34), "ok").otherwise("error"), F.when(every(34), none).when(every(51), "400").otherwise("503"),
-                     F.when(every(34), none).when(every(51), F.concat(F.lit("rejected "), F.col("id").cast("string")))
-                     .otherwise("unavailable"))
-    return first.unionByName(second)
+    first = """struct(id * 2 + 1 AS seq, 1 AS attempt,
+        CASE WHEN id % 31 = 0 THEN 'deadline' WHEN id % 17 = 0 OR id % 13 = 0 THEN 'error' ELSE 'ok' END AS status,
+        CASE WHEN id % 31 = 0 THEN NULL WHEN id % 17 = 0 THEN '400' WHEN id % 13 = 0 THEN '503' END AS code,
+        CASE WHEN id % 31 = 0 THEN 'deadline exceeded' WHEN id % 17 = 0 THEN 'bad request' WHEN id % 13 = 0 THEN 'unavailable' END AS message)"""
+    second = """struct(id * 2 + 2 AS seq, 2 AS attempt, CASE WHEN id % 34 = 0 THEN 'ok' ELSE 'error' END AS status,
+        CASE WHEN id % 34 = 0 THEN NULL WHEN id % 51 = 0 THEN '400' ELSE '503' END AS code,
+        CASE WHEN id % 34 = 0 THEN NULL WHEN id % 51 = 0 THEN concat('rejected ', id) ELSE 'unavailable' END AS message)"""
+    both = f"inline(CASE WHEN id % 17 = 0 AND id % 31 <> 0 THEN array({first}, {second}) ELSE array({first}) END)"
+    return messages.filter("reason IS NULL").selectExpr("id", both).selectExpr("*", "false AS sender_fault")
 
 
 def responses(entries: DataFrame) -> DataFrame:
     """Per-entry SQS responses; some entries are not mentioned at all."""
-    ids = entries.filter("reason IS NULL").filter(~every(29)).select("id")
-    fault, failed = every(19), every(23)
-    return ids.select(
-        "id", F.col("id").alias("seq"), F.when(fault | failed, "error").otherwise("ok").alias("status"),
-        F.when(fault, "InvalidParameterValue").when(failed, "InternalError").alias("code"),
-        F.when(fault, "bad entry").when(failed, "try later").alias("message"), fault.alias("sender_fault"))
+    return entries.filter("reason IS NULL AND id % 29 <> 0").selectExpr(
+        "id", "id AS seq", "CASE WHEN id % 19 = 0 OR id % 23 = 0 THEN 'error' ELSE 'ok' END AS status",
+        "CASE WHEN id % 19 = 0 THEN 'InvalidParameterValue' WHEN id % 23 = 0 THEN 'InternalError' END AS code",
+        "CASE WHEN id % 19 = 0 THEN 'bad entry' WHEN id % 23 = 0 THEN 'try later' END AS message", "id % 19 = 0 AS sender_fault")
 
 
 def request_errors(chunks: DataFrame) -> DataFrame:
     """Failed SQS requests among the chunks."""
-    requests = chunks.select("queue", "chunk_no").distinct().filter(every(3, 0, "chunk_no") | every(5, 0, "chunk_no"))
-    permanent = every(3, 0, "chunk_no")
-    return requests.select("queue", "chunk_no",
-                           F.when(permanent, "InvalidMessageContents").otherwise("ServiceUnavailable").alias("code"),
-                           F.when(permanent, "invalid characters").otherwise("try later").alias("message"))
+    return chunks.select("queue", "chunk_no").distinct().filter("chunk_no % 3 = 0 OR chunk_no % 5 = 0").selectExpr(
+        "queue", "chunk_no", "CASE WHEN chunk_no % 3 = 0 THEN 'InvalidMessageContents' ELSE 'ServiceUnavailable' END AS code",
+        "CASE WHEN chunk_no % 3 = 0 THEN 'invalid characters' ELSE 'try later' END AS message")
 
 
 def expected(messages: DataFrame) -> DataFrame:
-    return messages.filter("reason IS NULL").select(
-        "id", F.col("topic").alias("destination"), "ordering_key", body().alias("body"))
-
-
-def body() -> Column:
-    return F.lpad(F.col("id").cast("string"), 15, "0")
+    return messages.filter("reason IS NULL").selectExpr(
+        "id", "topic AS destination", "ordering_key", "lpad(CAST(id AS STRING), 15, '0') AS body")
 
 
 def delivered(messages: DataFrame) -> DataFrame:
     """Deliveries with losses, repeats, unknown ids and some out of order."""
-    sent = expected(messages)
-    late = F.when(every(59), F.col("id") * 4 - 1997).otherwise(F.col("id") * 4)
-    once = sent.filter(~every(41)).withColumn("arrival", late)
-    again = sent.filter(every(37)).withColumn("arrival", F.col("id") * 4 + 1)
-    stray = sent.filter(every(43)).withColumn("arrival", F.col("id") * 4 + 2).withColumn("id", F.col("id") + 1_000_000_000)
-    return once.unionByName(again).unionByName(stray)
+    copies = """filter(array(
+        CASE WHEN id % 41 <> 0 THEN struct(id AS as_id, CASE WHEN id % 59 = 0 THEN id * 4 - 1997 ELSE id * 4 END AS arrival) END,
+        CASE WHEN id % 37 = 0 THEN struct(id AS as_id, id * 4 + 1 AS arrival) END,
+        CASE WHEN id % 43 = 0 THEN struct(id + 1000000000 AS as_id, id * 4 + 2 AS arrival) END), c -> c IS NOT NULL)"""
+    rows = expected(messages).selectExpr("destination", "ordering_key", "body", f"inline({copies})")
+    return rows.withColumnRenamed("as_id", "id")
 
 
 def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="sluice-")
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def slice_count(spark: SparkSession) -> int:
     """How many key ranges a hot group is split into, from the shuffle width."""
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(4096, 4 * width))
+    return max(16, min(4096, 4 * shuffle_width(spark)))

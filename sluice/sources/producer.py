@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.config import SQS
 from sluice.functions.once import first_match, instant
+from sluice.session import shuffle_width
 
 EXPLODE_ROWS = 10_000
 
@@ -42,11 +43,12 @@ def _expand(plan: DataFrame, count: str) -> DataFrame:
     """One row per event of each plan row, numbered ``n`` from 1.
 
     Blocks of numbers are spread over tasks first, so a plan row with most of
-    the events is not expanded by one task.
+    the events is not expanded by one task. The task count is explicit: sized
+    by the bytes before the expansion, tasks would be merged into a few.
     """
     blocks = plan.filter(F.col(count) > 0).withColumn(
         "_from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count), F.lit(EXPLODE_ROWS).cast("bigint"))))
-    spread = blocks.repartition(F.xxhash64(*plan.columns, "_from"))
+    spread = blocks.repartition(shuffle_width(plan.sparkSession), F.xxhash64(*plan.columns, "_from"))
     return spread.withColumn("n", F.explode(F.sequence("_from", F.least(F.col("_from") + EXPLODE_ROWS - 1, F.col(count))))).drop("_from")
 
 

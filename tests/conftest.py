@@ -4,7 +4,10 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
+TESTS = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(TESTS), TESTS]
+# Senders defined in the tests run in Python workers, which import them.
+os.environ["PYTHONPATH"] = os.pathsep.join([TESTS, os.environ.get("PYTHONPATH", "")])
 
 SF_DIR = "/root/testdata/sf0.001"
 

@@ -40,11 +40,13 @@ def parse_json_strict(raw: str) -> str:
     """Variant of exactly one JSON document, else NULL.
 
     The built-in parser stops after the first document and ignores what
-    follows. Wrapping the text as an object value refuses a tail that does not
-    close the object; the array length refuses one that does.
+    follows. As the only element of an array, a document with a tail is
+    refused, unless the tail closes the array itself; text with a closing
+    bracket must also parse as the value of an object.
     """
-    wrapped = f"try_parse_json(concat('{{\"v\":', {raw}, '}}'))"
-    return f"CASE WHEN json_array_length(concat('[', {raw}, ']')) = 1 THEN try_variant_get({wrapped}, '$.v', 'variant') END"
+    alone = f"json_array_length(concat('[', {raw}, ']')) = 1"
+    closed = f"NOT contains({raw}, ']') OR try_parse_json(concat('{{\"v\":', {raw}, '}}')) IS NOT NULL"
+    return f"CASE WHEN {alone} AND ({closed}) THEN try_parse_json({raw}) END"
 
 
 def parse_options(raw: str) -> str:
@@ -52,12 +54,16 @@ def parse_options(raw: str) -> str:
     return f"CASE WHEN {raw} <> '' THEN {parse_json_strict(raw)} END"
 
 
+# Fixed value: how valid JSON text of an object starts.
+OBJECT_START = r"\A[ \t\n\r]*\{"
+
+
 def root_error(raw: str, parsed: str) -> str:
     """Why the options column cannot be used, NULL when it can."""
     return first_match(
         (f"coalesce({raw}, '') = ''", "NULL"),
         (f"{parsed} IS NULL", _malformed("options column must be valid JSON")),
-        (_no_object(_kind(parsed)), _malformed("options column must be an object")))
+        (f"NOT {raw} RLIKE {text(OBJECT_START)} AND NOT is_variant_null({parsed})", _malformed("options column must be an object")))
 
 
 def section_of(parsed: str, target: str, targets: list[str]) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sluice.operators import chunks as C, outcomes as X, settle
+from sluice.operators.routing import routable_events
 from sluice.plans.catalog import query
 from sluice.plans.messaging import entries, messages, triaged
 from sluice.plans.sqltext import over
@@ -18,6 +19,11 @@ def poisoned(spark, d) -> DataFrame:
     return triaged(spark, d).filter("triage <> 'dispatch'")
 
 
+def batch(spark, d) -> DataFrame:
+    """Ids of a batch that holds every routable row."""
+    return routable_events(outbox(spark, d), CONFIG).select("id")
+
+
 def reports(spark, d) -> DataFrame:
     """Reported outcomes of both providers, with repeats and foreign ids."""
     m, e = messages(spark, d), entries(spark, d)
@@ -30,8 +36,7 @@ def reports(spark, d) -> DataFrame:
 
 
 def settled_rows(spark, d) -> DataFrame:
-    dispatched = triaged(spark, d).filter("triage = 'dispatch'").select("id")
-    return settle.settled(poisoned(spark, d).select("id", "reason"), settle.settle_outcomes(dispatched, reports(spark, d)))
+    return settle.settled(poisoned(spark, d).select("id", "reason"), settle.settle_outcomes(batch(spark, d), reports(spark, d)))
 
 
 SETTLED = """
@@ -122,8 +127,7 @@ def _(spark, d):
 
 @query("settle_outcomes", over("outcomes sqs_outcomes", "SELECT id, outcome, reason FROM conclusive", SETTLED))
 def _(spark, d):
-    dispatched = triaged(spark, d).filter("triage = 'dispatch'").select("id")
-    return settle.settle_outcomes(dispatched, reports(spark, d))
+    return settle.settle_outcomes(batch(spark, d), reports(spark, d))
 
 
 @query("settled_ids", over("outcomes sqs_outcomes", "SELECT id, outcome, reason FROM settled", SETTLED))
@@ -134,8 +138,8 @@ def _(spark, d):
 @query("kept_for_retry", over("outcomes sqs_outcomes", """
 SELECT id, resolved_target, resolved_destination FROM triaged WHERE id NOT IN (SELECT id FROM settled)""", SETTLED))
 def _(spark, d):
-    batch = triaged(spark, d).select("id", "resolved_target", "resolved_destination")
-    return settle.kept_for_retry(batch, settled_rows(spark, d))
+    rows = routable_events(outbox(spark, d), CONFIG).select("id", "resolved_target", "resolved_destination")
+    return settle.kept_for_retry(rows, settled_rows(spark, d))
 
 
 @query("batch_stats", over("outcomes sqs_outcomes", """
@@ -147,7 +151,7 @@ FROM triaged t LEFT JOIN settled s ON s.id = t.id""", SETTLED))
 def _(spark, d):
     m = messages(spark, d)
     errors = X.pubsub_outcomes(m, attempts(m)).select("errors", "fatal")
-    return settle.batch_stats(triaged(spark, d).select("id"), settled_rows(spark, d), errors, dead_letter=True)
+    return settle.batch_stats(batch(spark, d), settled_rows(spark, d), errors, dead_letter=True)
 
 
 @query("pending_after_settle", over("outcomes sqs_outcomes resolved", """

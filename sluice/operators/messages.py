@@ -12,6 +12,7 @@ from sluice.functions.once import column, compute_once, first_match, text
 from sluice.functions.values import as_bytes, as_text
 from sluice.operators.ranking import row_numbers
 from sluice.operators.triage import age_micros, event_time
+from sluice.session import stored
 
 
 def provider_events(triaged: DataFrame, cfg: RelayConfig) -> DataFrame:
@@ -88,14 +89,17 @@ def sqs_entries(events: DataFrame, cfg: RelayConfig) -> DataFrame:
 
 
 def pubsub_order_groups(messages: DataFrame) -> DataFrame:
-    """Sendable ordered messages with their place in (topic, ordering key)."""
-    ordered = messages.filter("reason IS NULL AND ordering_key <> ''").select("id", "topic", "ordering_key")
+    """Sendable ordered messages with their place in (topic, ordering key).
+
+    Numbering takes three passes; they read a stored copy of three columns.
+    """
+    ordered = stored(messages.filter("reason IS NULL AND ordering_key <> ''").select("id", "topic", "ordering_key"))
     return row_numbers(ordered, ["topic", "ordering_key"], "id", "position")
 
 
 def sqs_fifo_sequence(entries: DataFrame) -> DataFrame:
     """Request number of each FIFO entry: one per request, in order, per group."""
-    fifo = entries.filter("reason IS NULL AND fifo").select("id", "queue", "message_group_id")
+    fifo = stored(entries.filter("reason IS NULL AND fifo").select("id", "queue", "message_group_id"))
     return row_numbers(fifo, ["queue", "message_group_id"], "id", "request_no")
 
 

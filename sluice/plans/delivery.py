@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sluice.operators import audit, stats
 from sluice.plans.catalog import query
-from sluice.plans.messaging import entries, messages
+from sluice.plans.messaging import stored_entries, stored_messages
 from sluice.plans.monitoring import COUNTER_SQL
 from sluice.plans.sqltext import over
 from sluice.plans.testdata import batch_log, delivered, events, every, expected
@@ -15,7 +15,7 @@ from sluice.streaming.dedup import dedup_deliveries
 
 @query("audit_missing", over("delivered", "SELECT id FROM expected WHERE id NOT IN (SELECT id FROM delivered)"))
 def _(spark, d):
-    m = messages(spark, d)
+    m = stored_messages(spark, d)
     return audit.audit_missing(expected(m), delivered(m))
 
 
@@ -24,7 +24,7 @@ SELECT CAST(sum(n) AS BIGINT) AS deliveries, CAST(sum(n - 1) AS BIGINT) AS dupli
        count(*) FILTER (WHERE id NOT IN (SELECT id FROM expected)) AS unknown_ids
 FROM (SELECT id, count(*) AS n FROM delivered GROUP BY id) c"""))
 def _(spark, d):
-    m = messages(spark, d)
+    m = stored_messages(spark, d)
     return audit.audit_duplicates(expected(m), delivered(m))
 
 
@@ -33,7 +33,7 @@ SELECT ordering_key, count(*) AS deliveries, count(*) FILTER (WHERE body < befor
 FROM (SELECT ordering_key, body, lag(body) OVER (PARTITION BY ordering_key ORDER BY arrival) AS before FROM delivered WHERE ordering_key <> '') d
 GROUP BY ordering_key"""))
 def _(spark, d):
-    return audit.audit_order(delivered(messages(spark, d)))
+    return audit.audit_order(delivered(stored_messages(spark, d)))
 
 
 @query("audit_latency", """
@@ -72,7 +72,7 @@ SELECT destination, body, CAST(sum(n) AS BIGINT) AS surplus
 FROM (SELECT destination, body, -1 AS n FROM expected UNION ALL SELECT destination, body, 1 FROM delivered) b
 GROUP BY destination, body HAVING sum(n) <> 0"""))
 def _(spark, d):
-    m = messages(spark, d)
+    m = stored_messages(spark, d)
     return audit.audit_bodies(expected(m), delivered(m))
 
 
@@ -97,7 +97,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY destination, deduplication_id OR
             UNION ALL SELECT queue, deduplication_id, id, id * 2 + 500 FROM entries WHERE reason IS NULL AND fifo AND id % 3 = 0) x) y
 WHERE rn = 1"""))
 def _(spark, d):
-    sent = entries(spark, d).filter("reason IS NULL AND fifo").select(F.col("queue").alias("destination"), "deduplication_id", "id")
+    sent = stored_entries(spark, d).filter("reason IS NULL AND fifo").select(F.col("queue").alias("destination"), "deduplication_id", "id")
     first = sent.withColumn("arrival", F.col("id") * 2)
     again = sent.filter(every(3)).withColumn("arrival", F.col("id") * 2 + 500)
     return dedup_deliveries(first.unionByName(again))

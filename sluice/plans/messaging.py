@@ -8,6 +8,7 @@ from sluice.operators import chunks as C, messages as M, routing, triage as T
 from sluice.plans.catalog import query
 from sluice.plans.sqltext import over
 from sluice.plans.testdata import CONFIG, NOW, outbox
+from sluice.session import stored
 
 
 def triaged(spark, d) -> DataFrame:
@@ -26,6 +27,16 @@ def entries(spark, d) -> DataFrame:
     return M.sqs_entries(provider_events(spark, d), CONFIG)
 
 
+def stored_messages(spark, d) -> DataFrame:
+    """Verdicts of the prepared messages, for queries that read them repeatedly."""
+    return stored(messages(spark, d).select("id", "topic", "ordering_key", "reason", "rejected_field"))
+
+
+def stored_entries(spark, d) -> DataFrame:
+    return stored(entries(spark, d).select("id", "queue", "fifo", "message_group_id", "deduplication_id", "given_group",
+                                           "message_size", "reason", "rejected_field"))
+
+
 def sized_standard_entries(spark, d) -> DataFrame:
     """Sendable standard-queue entries with sizes spread up to 300 kB."""
     rows = entries(spark, d).filter("reason IS NULL AND NOT fifo")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sluice.operators import failures, stats
 from sluice.plans.catalog import query
-from sluice.plans.messaging import entries, messages
+from sluice.plans.messaging import stored_entries, stored_messages
 from sluice.plans.sqltext import over
 from sluice.plans.testdata import CONFIG, NOW, attempts, batch_log, events
 
@@ -116,5 +116,5 @@ SELECT signature, count(*) AS failures FROM (
   FROM attempts a JOIN messages m ON m.id = a.id WHERE retry IN ('permanent', 'retryable')) f
 GROUP BY signature"""))
 def _(spark, d):
-    m, e = messages(spark, d), entries(spark, d)
+    m, e = stored_messages(spark, d), stored_entries(spark, d)
     return failures.failure_signatures(failures.rejection_signatures(m, e), failures.attempt_signatures(m, attempts(m)))

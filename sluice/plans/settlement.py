@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from sluice.operators import chunks as C, outcomes as X, settle
 from sluice.operators.routing import routable_events
 from sluice.plans.catalog import query
-from sluice.plans.messaging import entries, messages, triaged
+from sluice.plans.messaging import stored_entries, stored_messages, triaged
 from sluice.plans.sqltext import over
 from sluice.plans.testdata import CONFIG, NOW, attempts, outbox, request_errors, responses
 from sluice.sources.outbox import pending
@@ -24,9 +24,8 @@ def batch(spark, d) -> DataFrame:
     return routable_events(outbox(spark, d), CONFIG).select("id")
 
 
-def reports(spark, d) -> DataFrame:
+def reports(m: DataFrame, e: DataFrame) -> DataFrame:
     """Reported outcomes of both providers, with repeats and foreign ids."""
-    m, e = messages(spark, d), entries(spark, d)
     conclusive = X.pubsub_outcomes(m, attempts(m)).select("id", "outcome", "reason").unionByName(
         X.sqs_outcomes(e, responses(e)).select("id", "outcome", "reason")).filter("outcome IS NOT NULL")
     copies = """filter(array(struct(id AS as_id, id * 3 AS seq, outcome AS said, reason AS why),
@@ -35,8 +34,10 @@ def reports(spark, d) -> DataFrame:
     return conclusive.selectExpr(f"inline({copies})").withColumnsRenamed({"as_id": "id", "said": "outcome", "why": "reason"})
 
 
-def settled_rows(spark, d) -> DataFrame:
-    return settle.settled(poisoned(spark, d).select("id", "reason"), settle.settle_outcomes(batch(spark, d), reports(spark, d)))
+def settled_rows(spark, d, m: DataFrame | None = None) -> DataFrame:
+    m = stored_messages(spark, d) if m is None else m
+    outcomes = settle.settle_outcomes(batch(spark, d), reports(m, stored_entries(spark, d)))
+    return settle.settled(poisoned(spark, d).select("id", "reason"), outcomes)
 
 
 SETTLED = """
@@ -79,7 +80,7 @@ def _(spark, d):
 @query("classify_pubsub", over("outcomes", """
 SELECT id, outcome, reason, CAST(errors AS BIGINT) AS errors FROM outcomes WHERE ordering_key = ''"""))
 def _(spark, d):
-    m = messages(spark, d)
+    m = stored_messages(spark, d)
     return X.pubsub_outcomes(m, attempts(m)).filter("ordering_key = ''").select("id", "outcome", "reason", "errors")
 
 
@@ -92,13 +93,13 @@ SELECT id, o.topic, o.ordering_key, went AS attempted, CASE WHEN went THEN outco
 FROM (SELECT o.*, stop IS NULL OR id <= stop AS went FROM outcomes o LEFT JOIN stops s ON s.topic = o.topic AND s.ordering_key = o.ordering_key
       WHERE o.ordering_key <> '') o""", STOPS))
 def _(spark, d):
-    m = messages(spark, d)
+    m = stored_messages(spark, d)
     return X.pubsub_ordered_outcomes(m, attempts(m))
 
 
 @query("classify_sqs", over("sqs_outcomes", "SELECT id, queue, outcome, reason FROM sqs_outcomes"))
 def _(spark, d):
-    e = entries(spark, d)
+    e = stored_entries(spark, d)
     return X.sqs_outcomes(e, responses(e)).select("id", "queue", "outcome", "reason")
 
 
@@ -108,7 +109,7 @@ SELECT id, queue, message_group_id,
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS attempted
 FROM sqs_outcomes WHERE fifo"""))
 def _(spark, d):
-    e = entries(spark, d)
+    e = stored_entries(spark, d)
     fifo = X.sqs_outcomes(e, responses(e)).filter("fifo")
     return X.head_of_line(fifo, ["queue", "message_group_id"]).select("id", "queue", "message_group_id", "attempted")
 
@@ -121,13 +122,13 @@ FROM (SELECT id, queue, chunk_no, count(*) OVER (PARTITION BY queue, chunk_no) A
             FROM entries WHERE reason IS NULL AND NOT fifo) c) s
 WHERE chunk_no % 3 = 0 OR chunk_no % 5 = 0"""))
 def _(spark, d):
-    chunks = C.chunks_by_count(entries(spark, d).filter("reason IS NULL AND NOT fifo"))
+    chunks = C.chunks_by_count(stored_entries(spark, d).filter("reason IS NULL AND NOT fifo"))
     return X.sqs_isolation_plan(chunks, request_errors(chunks))
 
 
 @query("settle_outcomes", over("outcomes sqs_outcomes", "SELECT id, outcome, reason FROM conclusive", SETTLED))
 def _(spark, d):
-    return settle.settle_outcomes(batch(spark, d), reports(spark, d))
+    return settle.settle_outcomes(batch(spark, d), reports(stored_messages(spark, d), stored_entries(spark, d)))
 
 
 @query("settled_ids", over("outcomes sqs_outcomes", "SELECT id, outcome, reason FROM settled", SETTLED))
@@ -149,9 +150,9 @@ SELECT count(*) AS selected, count(*) FILTER (WHERE outcome = 'confirmed') AS se
        (SELECT CAST(coalesce(bool_or(fatal), false) AS BIGINT) FROM outcomes) AS fatal
 FROM triaged t LEFT JOIN settled s ON s.id = t.id""", SETTLED))
 def _(spark, d):
-    m = messages(spark, d)
+    m = stored_messages(spark, d)
     errors = X.pubsub_outcomes(m, attempts(m)).select("errors", "fatal")
-    return settle.batch_stats(batch(spark, d), settled_rows(spark, d), errors, dead_letter=True)
+    return settle.batch_stats(batch(spark, d), settled_rows(spark, d, m), errors, dead_letter=True)
 
 
 @query("pending_after_settle", over("outcomes sqs_outcomes resolved", """

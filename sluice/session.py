@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -30,6 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="sluice-")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder and read from there.
+
+    For narrow results of costly work that several passes need, and that must
+    survive the loss of executors.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,11 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sluice.config import PUBSUB, SQS
-from sluice.functions.once import text
+from sluice.functions.once import micros, text
 from sluice.functions.pubsub import permanent_error
 from sluice.functions.sqs import INVALID_QUEUE
+from sluice.session import stored
 
-BLOCK_WINDOWS = 64
+# Windows per block, and blocks per span.
+BLOCK_WINDOWS = 16
+SPAN_BLOCKS = 64
 NEVER = np.iinfo(np.int64).min
 
 
@@ -59,12 +62,20 @@ def _first_emits(times: np.ndarray, window: int) -> np.ndarray:
     return np.searchsorted(times, times + window, side="left")
 
 
+def _table(signature: str, block: int, n: int, entries: np.ndarray, exits: np.ndarray, trailing: np.ndarray) -> pd.DataFrame:
+    """Summary row; neighbouring entries that lead to the same exit are merged."""
+    kept = np.append((exits[1:] != exits[:-1]) | (trailing[1:] != trailing[:-1]), True)
+    return pd.DataFrame({"signature": signature, "block": block, "n": n, "entries": [entries[kept].tolist()],
+                         "exits": [exits[kept].tolist()], "trailing": [trailing[kept].tolist()]})
+
+
 def _summarise(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     """How one block of a signature's history maps incoming to outgoing silence.
 
     Silence carried into a block ends within a window of its first instant, so
     only the instants of that window and the next one can be the block's first
-    emission. Neighbours that lead to the same last emission are merged.
+    emission. Each maps to the last emission it leads to and the number of
+    records after that one.
     """
     pdf = pdf.sort_values("at")
     times, counts = pdf["at"].to_numpy(), pdf["n"].to_numpy()
@@ -75,33 +86,51 @@ def _summarise(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
         last = np.where(jump[:size] < size, last[np.minimum(jump[:size], size - 1)], last)
         jump = jump[jump]
     width = min(size, int(np.searchsorted(times, times[0] + window, side="left")) + 1)
-    ends = last[:width]
-    kept = np.append(ends[1:] != ends[:-1], True)
-    total = np.cumsum(counts)
-    return pd.DataFrame({
-        "signature": pdf["signature"].iloc[0], "block": pdf["block"].iloc[0], "n": int(total[-1]),
-        "entries": [times[:width][kept].tolist()], "exits": [times[ends][kept].tolist()],
-        "trailing": [(total[-1] - total[ends] + counts[ends] - 1)[kept].tolist()]})
+    ends, total = last[:width], np.cumsum(counts)
+    return _table(pdf["signature"].iloc[0], pdf["block"].iloc[0], int(total[-1]), times[:width], times[ends],
+                  total[-1] - total[ends] + counts[ends] - 1)
+
+
+def _through(row, next_at: np.ndarray, pending: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Silence after a block, for every silence carried into it."""
+    at = np.searchsorted(row.entries, next_at, side="left")
+    emits, place = at < len(row.entries), np.minimum(at, len(row.entries) - 1)
+    return (np.where(emits, np.asarray(row.exits)[place] + window, next_at),
+            np.where(emits, np.asarray(row.trailing)[place], pending + row.n))
+
+
+def _compose(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
+    """Summary of a span, from the summaries of its blocks in order."""
+    rows = list(pdf.sort_values("block").itertuples(index=False))
+    entries = exits = trailing = np.empty(0, dtype=np.int64)
+    open_until = int(rows[0].entries[0]) + window
+    for row in rows:
+        exits, trailing = _through(row, exits + window, trailing, window)
+        exits = exits - window
+        # Silence that outlasts all blocks so far can still end in this one.
+        if not len(entries) or entries[-1] < open_until:
+            fresh = np.asarray(row.entries)
+            entries = np.concatenate([entries, fresh])
+            exits = np.concatenate([exits, np.asarray(row.exits)])
+            trailing = np.concatenate([trailing, np.asarray(row.trailing)])
+    return _table(rows[0].signature, rows[0].span, int(pdf["n"].sum()), entries, exits, trailing)
 
 
 def _carry(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
-    """Walk each signature's block summaries in order, carrying the silence.
+    """Walk the summaries of each (signature, span) in order, carrying the silence.
 
-    The first block of a signature starts from ``state_at`` and
-    ``state_pending``, which earlier records left behind.
+    The first one starts from ``state_at`` and ``state_pending``, which earlier
+    records left behind.
     """
-    signature, next_at, pending = None, NEVER, 0
+    key, next_at, pending = None, NEVER, 0
     for pdf in frames:
         states = []
         for row in pdf.itertuples(index=False):
-            if row.signature != signature:
-                signature, next_at, pending = row.signature, int(row.state_at), int(row.state_pending)
+            if (row.signature, row.span) != key:
+                key, next_at, pending = (row.signature, row.span), int(row.state_at), int(row.state_pending)
             before = next_at, pending
-            at = int(np.searchsorted(row.entries, next_at, side="left"))
-            if at < len(row.entries):
-                next_at, pending = int(row.exits[at]) + window, int(row.trailing[at])
-            else:
-                pending += int(row.n)
+            after_at, after_pending = _through(row, np.array([next_at]), np.array([pending]), window)
+            next_at, pending = int(after_at[0]), int(after_pending[0])
             states.append((row.signature, row.block, *before, next_at, pending))
         yield pd.DataFrame(states, columns=["signature", "block", "next_at", "pending", "after_at", "after_pending"])
 
@@ -123,54 +152,59 @@ def _emit(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
                          "id": pdf["id"].to_numpy()[picked], "suppressed_count": suppressed})
 
 
-def _instants(records: DataFrame, width: int) -> DataFrame:
-    """Records merged per signature and instant, with their block of windows."""
-    span = width * BLOCK_WINDOWS
-    return (records.groupBy("signature", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-            .withColumn("block", F.expr(f"(at - pmod(at, {span}L)) div {span}L")))
+SUMMARY = "signature string, block bigint, n bigint, entries array<bigint>, exits array<bigint>, trailing array<bigint>"
+WALKED = "signature string, block bigint, next_at bigint, pending bigint, after_at bigint, after_pending bigint"
+
+
+def _walk(summaries: DataFrame, width: int) -> DataFrame:
+    return (summaries.repartition("signature", "span").sortWithinPartitions("signature", "span", "block")
+            .mapInPandas(lambda frames: _carry(frames, width), WALKED))
+
+
+def suppress_step(records: DataFrame, window: timedelta, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Emitted records, and the silence left behind per signature.
 
+    ``records`` holds (signature, at, id); ``state`` is what the step over all
+    earlier records left, as (signature, state_at, state_pending).
 
-def _block_states(instants: DataFrame, width: int, state: DataFrame | None) -> DataFrame:
-    summaries = instants.groupBy("signature", "block").applyInPandas(
-        lambda pdf: _summarise(pdf, width),
-        "signature string, block bigint, n bigint, entries array<bigint>, exits array<bigint>, trailing array<bigint>")
+    The window is anchored at the last emitted record, which makes a
+    signature's history one long chain. Blocks of windows are summarised in
+    parallel, their summaries are composed to spans in parallel, and only the
+    spans are walked one after the other. The blocks of each span, then the
+    records of each block, follow in parallel from where the walk entered them.
+    """
+    width = micros(window)
+    span = width * BLOCK_WINDOWS
+    id_type = records.schema["id"].dataType.simpleString()
+    instants = stored(
+        records.groupBy("signature", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+        .withColumn("block", F.expr(f"(at - pmod(at, {span}L)) div {span}L")))
+    summaries = stored(instants.groupBy("signature", "block").applyInPandas(lambda pdf: _summarise(pdf, width), SUMMARY)
+                       .withColumn("span", F.expr(f"(block - pmod(block, {SPAN_BLOCKS})) div {SPAN_BLOCKS}")))
+    spans = summaries.groupBy("signature", "span").applyInPandas(lambda pdf: _compose(pdf, width), SUMMARY)
     if state is None:
-        carried = summaries.withColumns({"state_at": F.lit(NEVER), "state_pending": F.lit(0).cast("bigint")})
+        started = spans.withColumns({"state_at": F.lit(NEVER), "state_pending": F.lit(0).cast("bigint")})
     else:
-        carried = summaries.join(state.select("signature", "state_at", "state_pending"), "signature", "left") \
+        started = spans.join(state.select("signature", "state_at", "state_pending"), "signature", "left") \
             .fillna({"state_at": NEVER, "state_pending": 0})
-    return (carried.repartition("signature").sortWithinPartitions("signature", "block")
-            .mapInPandas(lambda frames: _carry(frames, width),
-                         "signature string, block bigint, next_at bigint, pending bigint, after_at bigint, after_pending bigint"))
+    span_states = stored(_walk(started.withColumn("span", F.lit(0).cast("bigint")), width))
+
+    entered = span_states.selectExpr("signature", "block AS span", "next_at AS state_at", "pending AS state_pending")
+    block_states = _walk(summaries.join(entered, ["signature", "span"]), width).select("signature", "block", "next_at", "pending")
+    emitted = (instants.join(block_states, ["signature", "block"]).groupBy("signature", "block")
+               .applyInPandas(lambda pdf: _emit(pdf, width), f"signature string, at bigint, id {id_type}, suppressed_count bigint"))
 
+    left = span_states.groupBy("signature").agg(F.expr("max_by(struct(after_at, after_pending), block) AS s")) \
+        .selectExpr("signature", "s.after_at AS state_at", "s.after_pending AS state_pending")
+    if state is not None:
+        left = left.unionByName(state.select(left.columns).join(left.select("signature"), "signature", "left_anti"))
+    return emitted.withColumn("at", F.timestamp_micros("at")), left
 
-def suppress_failures(records: DataFrame, window: timedelta, state: DataFrame | None = None) -> DataFrame:
+
+def suppress_failures(records: DataFrame, window: timedelta) -> DataFrame:
     """Records that get through: the first of a signature, then at most one per window.
 
-    ``records`` holds (signature, at, id). The window is anchored at the last
-    emitted record, which makes a signature's history one long chain. Blocks of
-    64 windows are summarised in parallel, the summaries are walked per
-    signature, and the blocks then emit in parallel. ``suppressed_count`` says
-    how many records were silenced since the previous emission. ``state`` is
-    what ``suppression_state`` returned for all earlier records.
+    ``suppressed_count`` says how many were silenced since the one before.
     """
-    width = int(window.total_seconds() * 1_000_000)
-    id_type = records.schema["id"].dataType.simpleString()
-    instants = _instants(records, width)
-    states = _block_states(instants, width, state).select("signature", "block", "next_at", "pending")
-    emitted = (instants.join(states, ["signature", "block"]).groupBy("signature", "block")
-               .applyInPandas(lambda pdf: _emit(pdf, width),
-                              f"signature string, at bigint, id {id_type}, suppressed_count bigint"))
-    return emitted.withColumn("at", F.timestamp_micros("at"))
-
-
-def suppression_state(records: DataFrame, window: timedelta, state: DataFrame | None = None) -> DataFrame:
-    """Silence left behind per signature: (signature, state_at, state_pending)."""
-    width = int(window.total_seconds() * 1_000_000)
-    walked = _block_states(_instants(records, width), width, state)
-    fresh = walked.groupBy("signature").agg(F.max_by(F.struct("after_at", "after_pending"), "block").alias("_s")) \
-        .select("signature", F.col("_s.after_at").alias("state_at"), F.col("_s.after_pending").alias("state_pending"))
-    if state is None:
-        return fresh
-    return fresh.unionByName(state.join(fresh.select("signature"), "signature", "left_anti"))
+    return suppress_step(records, window)[0]

@@ -9,11 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from sluice.operators.failures import suppress_failures, suppression_state
+from sluice.operators.failures import suppress_step
 from sluice.sources.tables import RelayTables
 
-STATE = "signature string, state_at bigint, state_pending bigint"
-
 
 def suppress_stream(records: DataFrame, window: timedelta, tables: RelayTables, checkpoint: str,
                     trigger: dict) -> StreamingQuery:
@@ -25,8 +23,9 @@ def suppress_stream(records: DataFrame, window: timedelta, tables: RelayTables,
     """
     def on_batch(df: DataFrame, epoch: int) -> None:
         state = tables.read_batch("suppression_state", epoch - 1) if epoch else None
-        tables.write(suppression_state(df, window, state), "suppression_state", epoch)
-        tables.write(suppress_failures(df, window, state), "emitted", epoch)
+        emitted, left = suppress_step(df, window, state)
+        tables.write(left, "suppression_state", epoch)
+        tables.write(emitted, "emitted", epoch)
 
     return (records.writeStream.foreachBatch(on_batch)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())

@@ -100,22 +100,51 @@ def emitted(df):
 
 
 @few
-@given(st.lists(st.tuples(st.integers(0, 900), st.sampled_from(["x", "x", "y"])), min_size=2, max_size=150), st.integers(1, 3))
-def test_suppression_with_and_without_carried_state(spark, times, cuts):
+@given(st.lists(st.tuples(st.integers(0, 900), st.sampled_from(["x", "x", "y"])), min_size=2, max_size=150), st.integers(1, 3),
+       st.sampled_from([(1, 2), (2, 3), (16, 64)]))
+def test_suppression_with_and_without_carried_state(spark, times, cuts, blocks):
     window = timedelta(seconds=5)
     records = [(at, n, s) for n, (at, s) in enumerate(sorted(times))]
     want = silence(records, 5)
-    assert emitted(failures.suppress_failures(as_frame(spark, records), window)) == want
-    got, state = [], None
-    step = len(records) // (cuts + 1) + 1
-    for start in range(0, len(records), step):
-        part = as_frame(spark, records[start:start + step])
-        got += emitted(failures.suppress_failures(part, window, state))
-        after = failures.suppression_state(part, window, state).collect()
-        state = spark.createDataFrame(after, "signature string, state_at bigint, state_pending bigint")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(failures, "BLOCK_WINDOWS", blocks[0])
+        patch.setattr(failures, "SPAN_BLOCKS", blocks[1])
+        assert emitted(failures.suppress_failures(as_frame(spark, records), window)) == want
+        got, state = [], None
+        step = len(records) // (cuts + 1) + 1
+        for start in range(0, len(records), step):
+            through, state = failures.suppress_step(as_frame(spark, records[start:start + step]), window, state)
+            got += emitted(through)
     assert sorted(got) == want
 
 
+def test_composed_spans_against_plain_code():
+    """Many dense histories through the block and span summaries, without Spark."""
+    import pandas as pd
+
+    rng = random.Random(11)
+    for trial in range(300):
+        window, block, span = rng.choice([3, 5, 8]), rng.choice([1, 2, 3]), rng.choice([2, 3, 5])
+        times = sorted(rng.choices(range(rng.choice([60, 300])), k=rng.randint(1, 80)))
+        want = silence([(t, n, "s") for n, t in enumerate(times)], window)
+        grouped = pd.Series(times).groupby(times).size()
+        frame = pd.DataFrame({"signature": "s", "at": grouped.index, "n": grouped.values, "id": [times.index(t) for t in grouped.index]})
+        frame["block"] = frame["at"] // (window * block)
+        rows = pd.concat([failures._summarise(g, window) for _, g in frame.groupby("block")])
+        rows["span"] = rows["block"] // span
+        spans = pd.concat([failures._compose(g, window) for _, g in rows.groupby("span")])
+        spans = spans.assign(span=0, state_at=failures.NEVER, state_pending=0)
+        entered = pd.concat(failures._carry(iter([spans]), window)).set_index("block")
+        rows["state_at"] = rows["span"].map(entered["next_at"])
+        rows["state_pending"] = rows["span"].map(entered["pending"])
+        states = pd.concat(failures._carry(iter([rows]), window)).set_index("block")
+        got = []
+        for number, part in frame.groupby("block"):
+            part = part.assign(next_at=states["next_at"][number], pending=states["pending"][number])
+            got += [tuple(r) for r in failures._emit(part, window).itertuples(index=False)]
+        assert sorted(got) == want, (trial, times, window, block, span)
+
+
 def test_the_next_record_exactly_one_window_later_is_emitted(spark):
     df = as_frame(spark, [(0, 1, "s"), (30, 2, "s"), (59, 3, "s"), (60, 4, "s")])
     assert emitted(failures.suppress_failures(df, timedelta(seconds=60))) == [("s", 0, 1, 0), ("s", 60, 4, 2)]

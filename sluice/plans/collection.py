@@ -13,6 +13,7 @@ from sluice.operators import backlog, collect, routing, triage as T
 from sluice.plans.catalog import query
 from sluice.plans.sqltext import over
 from sluice.plans.testdata import CONFIG, NOW, events, every, outbox
+from sluice.session import spread
 from sluice.sources.outbox import scan_outbox
 from sluice.sources.producer import ordered_workload, power_law_count, produce_events
 
@@ -191,7 +192,7 @@ def _(spark, d):
 
 @query("triage", over("triaged", "SELECT id, resolved_target, resolved_destination, triage, reason FROM triaged"))
 def _(spark, d):
-    return T.triage(routing.routable_events(outbox(spark, d), CONFIG), CONFIG, NOW).select("id", *routing.ROUTE, "triage", "reason")
+    return T.triage(spread(routing.routable_events(outbox(spark, d), CONFIG)), CONFIG, NOW).select("id", *routing.ROUTE, "triage", "reason")
 
 
 @query("outbox_lag", over("fair", """

@@ -8,11 +8,11 @@ from sluice.operators import chunks as C, messages as M, routing, triage as T
 from sluice.plans.catalog import query
 from sluice.plans.sqltext import over
 from sluice.plans.testdata import CONFIG, NOW, outbox
-from sluice.session import stored
+from sluice.session import spread, stored
 
 
 def triaged(spark, d) -> DataFrame:
-    return T.triage(routing.routable_events(outbox(spark, d), CONFIG), CONFIG, NOW)
+    return T.triage(spread(routing.routable_events(outbox(spark, d), CONFIG)), CONFIG, NOW)
 
 
 def provider_events(spark, d) -> DataFrame:

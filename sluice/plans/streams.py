@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from sluice.config import PUBSUB, SQS
 from sluice.functions.pubsub import PERMANENT_CODES
-from sluice.operators.messages import pubsub_messages
 from sluice.plans.catalog import query
-from sluice.plans.monitoring import EMITTED_SQL, HOUR
+from sluice.plans.messaging import messages
+from sluice.plans.monitoring import EMITTED_SQL, HOUR, failure_records
 from sluice.plans.sqltext import over
 from sluice.plans.testdata import CONFIG, NOW, outbox
 from sluice.session import configure, shared_dir
@@ -101,11 +101,8 @@ def _(spark, d):
     box = outbox(spark, d)
     Relay(LARGE, tables, publishers(), clock=lambda: NOW).run_batch(box, 0)
     Relay(LARGE, tables, publishers(send_any, send_any), clock=lambda: NOW).run_batch(box, 1)
-    from sluice.operators import messages as M, routing, triage as T
-
     second = tables.settled().filter("batch_id = 1 AND outcome = 'confirmed'").select("id")
-    keyed = pubsub_messages(M.provider_events(T.triage(routing.routable_events(box, LARGE), LARGE, NOW), LARGE))
-    resent = keyed.filter("ordering_key <> ''").join(second, "id", "left_semi")
+    resent = messages(spark, d).filter("ordering_key <> ''").join(second, "id", "left_semi")
     return resent.groupBy("topic", "ordering_key").agg(
         F.count(F.lit(1)).alias("retried"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
@@ -113,8 +110,6 @@ def _(spark, d):
 @query("stream_suppress_failures", EMITTED_SQL)
 def _(spark, d):
     """Failure records arriving in time order, a slice of history per micro-batch."""
-    from sluice.plans.monitoring import failure_records
-
     tables = new_tables(spark)
     records = failure_records(spark, d)
     stored = tables.path("source")

@@ -7,7 +7,6 @@ from dataclasses import replace
 from datetime import datetime, timezone
 
 import pytest
-from pyspark.sql import functions as F
 
 from sluice.config import PUBSUB, SQS, Backend, RelayConfig
 from sluice.functions.pubsub import PERMANENT_CODES

@@ -12,8 +12,7 @@ have enough words left (positional filter). Pairs that pass are counted out.
 Besides, phrases that name a license are found by their words in a row.
 
 The templates are a parameter; their index has a checked size and is shipped
-to the tasks in parts of at most ``INDEX_WORDS`` words, one pass over the
-documents per part. Documents are never shuffled, so no key can be hot.
+to the tasks in parts of at most ``INDEX_WORDS`` words. Documents are never shuffled, so no key can be hot.
 
 Null or empty text: no words, no labels, score 0. Null ids and repeated rows
 are kept. An empty table gives no rows. Other columns are unused.
@@ -26,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -55,8 +55,8 @@ LABELS = {"gpl-notice": "gpl"}
 THRESHOLD = 0.8
 INDEX_WORDS = 1_000_000
 BLANK = re.compile(rb"\n[ \t\r\f\v]*\n")
-FOUND = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
-         "found array<struct<label string, block int, score double>>, row_no long")
+PLACES = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>"
+FOUND = "array<struct<label: string, block: int, score: double>>"
 
 
 class TemplateIndex:
@@ -115,29 +115,29 @@ def phrase_places(found: list[bytes], phrases: dict[bytes, str]) -> tuple[list[i
     return places, labels
 
 
-def _pass(docs: DataFrame, id_col: str, text_col: str, index: TemplateIndex, phrases: dict[str, str]) -> DataFrame:
+def _phrase_column(phrases: dict[str, str]):
     wanted = {" ".join(k.split()).lower().encode(): v for k, v in phrases.items()}
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    @F.pandas_udf(PLACES)
+    def places(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            found = words(text)
+            at, labels = phrase_places(found, wanted)
+            rows.append((len(found), len(at), min(at, default=None), max(at, default=None), sorted(labels)))
+        out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels"])
+        return out.astype({"first_word": "Int64", "last_word": "Int64"})
 
-        row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches):
-            out = {c: [] for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "found", "row_no")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words(text)
-                places, labels = phrase_places(found, wanted)
-                hits = [{"label": name, "block": i, "score": score} for i, block in enumerate(BLANK.split(text or b""))
-                        for name, score in index.matches(words(block))]
-                for column, value in zip(out.values(), (doc_id, len(found), len(places), min(places, default=None),
-                                                        max(places, default=None), sorted(labels), hits, row)):
-                    column.append(value)
-                row += 1
-            hit = pa.list_(pa.struct([("label", pa.string()), ("block", pa.int32()), ("score", pa.float64())]))
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.string()), hit, pa.int64()]
-            yield records({c: (v, t) for (c, v), t in zip(out.items(), kinds)})
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(scan, FOUND)
+    return places
+
+
+def _template_column(index: TemplateIndex, labels: dict[str, str]):
+    @F.pandas_udf(FOUND)
+    def matches(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"label": labels.get(name, name), "block": i, "score": score} for i, block in enumerate(BLANK.split(text or b""))
+                           for name, score in index.matches(words(block))] for text in texts], dtype=object)
+
+    return matches
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
@@ -146,7 +146,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """Phrases and templates found in each document; ``found`` lists template label, block and share."""
     templates = TEMPLATES if templates is None else templates
     labels = LABELS if labels is None else labels
-    phrases = PHRASES if phrases is None else phrases
     parts, size = [{}], 0
     for name, text in templates.items():
         size += len(words(text.encode()))
@@ -154,18 +153,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             parts.append({})
             size = len(words(text.encode()))
         parts[-1][name] = text
-    rows = None
+    text, found = F.col(text_col).cast("binary"), []
     for part in parts:
         counts = document_counts(docs, text_col, {w for t in part.values() for w in words(t.encode())})
-        one = _pass(docs, id_col, text_col, TemplateIndex(part, counts, threshold), phrases)
-        rows = one if rows is None else rows.unionByName(one)
-    if len(parts) > 1:  # one row per document again; its scan order is the same in each pass
-        rows = rows.groupBy("row_no").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")],
-                                          F.flatten(F.collect_list("found")).alias("found"))
-    named = "transform(found, f -> named_struct('label', coalesce(map_labels[f.label], f.label), 'block', f.block, 'score', f.score))"
-    pairs = ", ".join(f"'{k}', '{v}'" for k, v in labels.items())
-    return rows.selectExpr("*", f"CAST(map({pairs}) AS MAP<STRING, STRING>) AS map_labels").selectExpr(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", f"{named} AS found")
+        found.append(_template_column(TemplateIndex(part, counts, threshold), labels)(text))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _phrase_column(PHRASES if phrases is None else phrases)(text).alias("base"),
+                       F.concat(*found).alias("found"))
+    return rows.select("doc_id", "base.*", "found")
 
 
 @query("op5_license_scan")

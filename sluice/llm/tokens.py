@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: A cut before white space that follows something else is a cut of the byte-level pre-tokenizer too.
-SEGMENT = re.compile(r"\s*\S+|\s+")
+#: Segments begin and end where the byte-level pre-tokenizer always cuts: before white space that follows
+#: something else, and between a letter or digit and a punctuation mark that does not join words.
+SEGMENT = re.compile(r"\s*[^\W_]+(?=[\s.,;:!?]|\Z)|\s*\S+|\s+")
+#: Segments that the pre-tokenizer leaves whole: Latin letters, perhaps after one blank.
+WHOLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 CACHE_SEGMENTS = 400_000
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct segment once.
 
-    The pre-tokenizer of byte-level BPE always cuts between a character that
-    is not white space and white space, and no merge crosses such a cut. So
-    the ids of a text are those of its segments in a row. Words recur, so the
-    library sees each new segment once per worker; the cache is emptied when
-    it is full.
+    Under a byte-level pre-tokenizer no merge crosses a cut, so the ids of a
+    text are those of its segments in a row. Words recur, so the library sees
+    a new segment once per worker. The cache has two halves; when the new one
+    is full it becomes the old one, so words in use stay. With any other
+    pre-tokenizer texts are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -28,23 +40,44 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        parts = json.loads(self.tokenizer.to_str())
+        cuts = parts["pre_tokenizer"] or {}
+        self.by_segment = (parts["normalizer"] is None and parts["model"]["type"] == "BPE" and cuts.get("type") == "ByteLevel"
+                           and not cuts.get("add_prefix_space") and cuts.get("use_regex", True))
+        self.alphabet, self.new, self.old = byte_alphabet(), {}, {}
 
     def ids(self, text: bytes | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; none for null."""
-        segments = SEGMENT.findall(text.decode("utf-8", "replace")) if text else []
-        known = self.known
-        new = [s for s in dict.fromkeys(segments) if s not in known]
-        if new:
+        if not text:
+            return b""
+        if not self.by_segment:
+            return self._whole([text.decode("utf-8", "replace")])[0]
+        segments = SEGMENT.findall(text.decode("utf-8", "replace"))
+        known = self.new
+        missing = [s for s in set(segments) if s not in known]
+        if missing:
             if len(known) > CACHE_SEGMENTS:
-                known.clear()
-                new = list(dict.fromkeys(segments))
-            for at in range(0, len(new), 4096):
-                part = new[at:at + 4096]
-                for segment, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    known[segment] = np.array(found.ids, dtype="<u4").tobytes()
+                self.old, self.new = known, {}
+                known, missing = self.new, list(set(segments))
+            self._learn(missing)
         return b"".join(map(known.__getitem__, segments))
 
+    def _learn(self, segments: list[str]) -> None:
+        old, new, rest = self.old, self.new, []
+        tokenize, alphabet, whole = self.tokenizer.model.tokenize, self.alphabet, WHOLE.fullmatch
+        for s in segments:
+            if s in old:
+                new[s] = old[s]
+            elif whole(s):
+                new[s] = array("I", [t.id for t in tokenize(s.encode().decode("latin-1").translate(alphabet))]).tobytes()
+            else:
+                rest.append(s)
+        new.update(zip(rest, self._whole(rest)))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -102,8 +102,9 @@ def _matrix(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ids[np.where(mask, at, 0)] if len(ids) else at, mask, owner
 
 
-def train(rows: list[tuple[int, list[str]]], steps: int = STEPS, seed: int = SEED) -> Model | None:
+def train(rows: list[tuple[int, list[str]]], steps: int | None = None, seed: int = SEED) -> Model | None:
     """Fit the network to labelled windows; None without both labels."""
+    steps = steps or STEPS
     texts = [(y, [words(w.encode()) for w in windows]) for y, windows in rows]
     texts = [(y, [w for w in windows if w]) for y, windows in texts]
     owner = np.array([i for i, (_, windows) in enumerate(texts) for _ in windows], dtype=np.int64)
@@ -122,8 +123,8 @@ def train(rows: list[tuple[int, list[str]]], steps: int = STEPS, seed: int = SEE
         ids[i, :len(window)], mask[i, :len(window)] = [number[w] for w in window], True
 
     p, rng = recurrent.init(len(vocabulary), seed), np.random.default_rng(seed)
-    adam, y, apart = recurrent.Adam(p, RATE), label[owner], _apart(label)
-    free = ~apart[owner] if len(label) >= 4 * APART else np.ones(len(y), dtype=bool)
+    adam, y, (apart, taught) = recurrent.Adam(p, RATE), label[owner], _split(label)
+    free = taught[owner]
     pick, teach = free * np.where(y > 0, 1 / (y > 0).sum(), 1 / (y == 0).sum()), np.ones(len(y), dtype=np.float32)
 
     def all_logits() -> np.ndarray:
@@ -161,13 +162,15 @@ def train(rows: list[tuple[int, list[str]]], steps: int = STEPS, seed: int = SEE
     return Model(p, vocabulary, _cut(worst[there], label[there]))
 
 
-def _apart(label: np.ndarray) -> np.ndarray:
-    """Documents that set the cut: every ``APART``-th of each label, all where there are fewer."""
-    apart = np.zeros(len(label), dtype=bool)
+def _split(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that set the cut, every ``APART``-th of each label, and those that teach; few documents do both."""
+    apart, taught = np.zeros(len(label), dtype=bool), np.ones(len(label), dtype=bool)
     for kind in (0, 1):
         of_kind = np.flatnonzero(label == kind)
-        apart[of_kind[::APART] if len(of_kind) >= 2 * APART else of_kind] = True
-    return apart
+        few = len(of_kind) < 2 * APART
+        apart[of_kind if few else of_kind[::APART]] = True
+        taught[of_kind] = few | ~apart[of_kind]
+    return apart, taught
 
 
 def _cut(out: np.ndarray, label: np.ndarray) -> float:

@@ -58,8 +58,10 @@ def minimax(atoms: DataFrame, order: str, size: str, shards: int) -> DataFrame:
     """
     listed = atoms.agg(F.expr(f"array_sort(collect_list(struct({order} AS k, CAST({size} AS LONG) AS v)))").alias("list")).selectExpr(
         "list.k AS keys", "list.v AS sizes", "aggregate(list.v, 0L, (a, v) -> a + v) AS total", "array_max(list.v) AS largest")
-    found = listed.selectExpr("*", f"{_CAPACITY.format(shards=shards)} AS capacity").selectExpr("*", f"{_ENDS} AS ends")
-    return found.selectExpr("*", f"{_CUTS.format(shards=shards)} AS cuts").selectExpr(
+    # Generated rows are a barrier: else each step of a walk would hold the whole search before it.
+    found = listed.selectExpr(f"inline(array(struct(*, {_CAPACITY.format(shards=shards)} AS capacity)))")
+    found = found.selectExpr(f"inline(array(struct(*, {_ENDS} AS ends)))")
+    return found.selectExpr(f"inline(array(struct(*, {_CUTS.format(shards=shards)} AS cuts)))").selectExpr(
         "capacity", "transform(cuts, i -> keys[i]) AS starts")
 
 

@@ -19,7 +19,7 @@ SLICE = "_slice"
 
 
 def splitters(df: DataFrame, order: str, slices: int) -> DataFrame:
-    """One row holding a sorted array of at most ``slices`` ordering values.
+    """One row: a sorted array of at most ``slices`` ordering values, and every n-th of them.
 
     Each hash class contributes one value, so the sample follows the data's
     own distribution, works for any type and never changes between
@@ -27,20 +27,22 @@ def splitters(df: DataFrame, order: str, slices: int) -> DataFrame:
     """
     value = df.selectExpr(f"{order} AS _v", f"pmod(xxhash64({order}), {slices}) AS _class")
     sample = value.groupBy("_class").agg(F.expr("min_by(_v, xxhash64(17, _v)) AS _v"))
-    return sample.agg(F.expr("array_sort(collect_set(_v)) AS _cuts"))
+    every = f"filter(_cuts, (v, i) -> i % {isqrt(slices)} = 0)"
+    return sample.agg(F.expr("array_sort(collect_set(_v)) AS _cuts")).selectExpr(f"struct(_cuts, {every} AS _coarse) AS _places")
 
 
 def with_slices(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
     """Add the number of the range that each row's ordering value falls in.
 
     ``order`` is a SQL expression. The lookup is two short scans, first of
-    every n-th cut and then of the cuts that follow it.
+    every n-th cut, a list of its own, and then of the cuts that follow it, so
+    a row meets about twice the square root of the cuts.
     """
     slices = slices or slice_count(df.sparkSession)
     width = isqrt(slices)
-    placed = df.withColumn("_cuts", splitters(df, order, slices).scalar()).selectExpr("*", f"{order} AS _at")
-    coarse = f"greatest(size(filter(_cuts, (v, i) -> i % {width} = 0 AND v <= _at)) - 1, 0) * {width} AS _start"
-    fine = f"_start + size(filter(slice(_cuts, _start + 1, {width}), v -> v <= _at)) AS {SLICE}"
+    placed = df.withColumn("_places", splitters(df, order, slices).scalar()).selectExpr("*", f"{order} AS _at")
+    coarse = f"greatest(size(filter(_places._coarse, v -> v <= _at)) - 1, 0) * {width} AS _start"
+    fine = f"_start + size(filter(slice(_places._cuts, _start + 1, {width}), v -> v <= _at)) AS {SLICE}"
     return placed.selectExpr("*", coarse).selectExpr(*[f"`{c}`" for c in df.columns], fine)
 
 

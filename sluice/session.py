@@ -59,4 +59,4 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def slice_count(spark: SparkSession) -> int:
     """How many key ranges a hot group is split into, from the shuffle width."""
-    return max(16, min(4096, 4 * shuffle_width(spark)))
+    return max(16, 4 * shuffle_width(spark))

@@ -60,7 +60,18 @@ def test_sqs_rules(spark):
                                       "id bigint, seq bigint, status string, code string, message string, sender_fault boolean")
     got = {r["id"]: (r["outcome"], r["reason"], r["errors"]) for r in outcomes.sqs_outcomes(entries, responses).collect()}
     assert got == {1: ("confirmed", None, 0), 2: ("poison", "Bad: why", 0), 3: (None, None, 0), 4: (None, None, 0),
-                   5: ("poison", "chars", 0), 6: (None, None, 0), 7: (None, None, 1), 8: (None, None, 0)}
+                   5: (None, None, 0), 6: (None, None, 0), 7: (None, None, 1), 8: (None, None, 0)}
+
+
+def test_refused_chunk_is_settled_by_isolated_sends(spark):
+    entries = spark.createDataFrame([(i, "q", "", False, None, 1 + (i > 4)) for i in range(1, 6)],
+                                    "id bigint, queue string, message_group_id string, fifo boolean, reason string, chunk_no bigint")
+    whole = ("request_error", "InvalidMessageContents", "chars", False)
+    said = [(i, 1, *whole) for i in range(1, 6)] + [(1, 2, "ok", None, None, False), (2, 2, "ok", None, None, False), (3, 2, *whole),
+                                                    (4, 2, "request_error", "Throttled", "slow", False)]
+    responses = spark.createDataFrame(said, "id bigint, seq bigint, status string, code string, message string, sender_fault boolean")
+    got = {r["id"]: (r["outcome"], r["reason"], r["errors"]) for r in outcomes.sqs_outcomes(entries, responses).collect()}
+    assert got == {1: ("confirmed", None, 0), 2: ("confirmed", None, 0), 3: ("poison", "chars", 0), 4: (None, None, 1), 5: ("poison", "chars", 0)}
 
 
 def test_lone_entries_are_poisoned_and_larger_chunks_isolated(spark):

@@ -225,14 +225,16 @@ def _(spark, d):
 
 
 @query("sqs_attributes_valid", over("", """
-SELECT id, bool_and(regexp_matches(name, '^[A-Za-z0-9_.-]{1,256}$') AND NOT starts_with(lower(name), 'aws.')
-         AND split_part(data_type, '.', 1) IN ('String', 'Number', 'Binary')
+SELECT s.id, coalesce(fine, true) AND coalesce(n, 0) <= 10 AS valid FROM sections s LEFT JOIN (SELECT id, count(*) AS n,
+         bool_and(regexp_matches(name, '^[A-Za-z0-9_.-]{1,256}$') AND NOT starts_with(lower(name), 'aws.') AND NOT starts_with(lower(name), 'amazon.')
+         AND NOT starts_with(name, '.') AND NOT ends_with(name, '.') AND NOT contains(name, '..')
+         AND coalesce(split_part(data_type, '.', 1) IN ('String', 'Number', 'Binary'), false)
          AND CASE WHEN starts_with(data_type, 'Binary') THEN binary_value IS NOT NULL AND string_value IS NULL
-                  ELSE coalesce(string_value, '') <> '' AND binary_value IS NULL END) AS valid
-FROM parsed WHERE id % 13 IN (0, 1, 7, 8) GROUP BY id""", SECTION_VIEW))
+                  ELSE coalesce(string_value, '') <> '' AND binary_value IS NULL
+                       AND NOT regexp_matches(coalesce(string_value, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]') END) AS fine
+FROM parsed GROUP BY id) a ON a.id = s.id""", SECTION_VIEW))
 def _(spark, d):
-    rows = sqs_sections(spark, d).filter((F.col("id") % 13).isin(0, 1, 7, 8))
-    rows = compute_once(rows, ["id"], {"attributes": O.sqs_attributes("_section")})
+    rows = compute_once(sqs_sections(spark, d), ["id"], {"attributes": O.sqs_attributes("_section")})
     return rows.selectExpr("id", f"{sqs.attributes_valid('attributes')} AS valid")
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.llm.common import file_system, records, scratch, slices, task_file, written
 from sluice.llm.registry import query
+from sluice.session import shuffle_width
 
 #: Fixed values of the formats: frame magic numbers and header names.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -205,6 +206,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
 def read(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """A row per record of the listed archives, whose number of records is checked."""
+    # Few narrow rows that stand for much work: the number of tasks is given, so that they are not merged.
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = file_system(folder)[0]
         columns = [(c.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in READ.split(", ")]
@@ -223,7 +225,7 @@ def read(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 if held:
                     yield records({c: ([r[c] for r in held], t) for c, t in columns})
 
-    return files.select("path", "n_records").repartition(F.col("path")).mapInArrow(decode, READ)
+    return files.select("path", "n_records").repartition(shuffle_width(files.sparkSession), "path").mapInArrow(decode, READ)
 
 
 #: Base 32 of a hex digest: every five hex digits are four characters.

@@ -29,6 +29,7 @@ from sluice.llm import elias_fano
 from sluice.llm.common import file_system, records, scratch, slices, task_file, written
 from sluice.llm.registry import query
 from sluice.llm.tokens import default_tokenizer, encoder
+from sluice.session import shuffle_width
 
 MAGIC = b"EFTOKEN1"
 FOOT = "<QQQQB7x"
@@ -113,6 +114,7 @@ def read(files: DataFrame, folder: str, block: int = 1 << 21) -> DataFrame:
     ``start`` counts the ids of all documents before it. Files are read in
     blocks of about ``block`` ids, so memory does not grow with a file.
     """
+    # Few narrow rows that stand for much work: the number of tasks is given, so that they are not merged.
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -128,7 +130,7 @@ def read(files: DataFrame, folder: str, block: int = 1 << 21) -> DataFrame:
                                    "ids_crc32": (crcs, pa.int64())})
                     at = stop
 
-    rows = files.select("file_no", "path").repartition(F.col("file_no")).mapInArrow(decode, READ)
+    rows = files.select("file_no", "path").repartition(shuffle_width(files.sparkSession), "file_no").mapInArrow(decode, READ)
     # One narrow row per file.
     bases = files.selectExpr("file_no", "sum(tokens) OVER (ORDER BY file_no) - tokens AS base")
     return rows.join(bases, "file_no").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "file_no")

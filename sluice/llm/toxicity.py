@@ -41,7 +41,7 @@ BATCH = 256
 RATE = 0.01
 SEED = 5
 LIMIT = 0.7
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 CHUNK = 2048
 #: Of a batch, clean windows of one word over and over; share of words read by their characters alone;
 #: every which sampled document sets the cut instead of the weights.
@@ -194,8 +194,8 @@ class _Scorer:
             self.number, self.tables = {}, {}
         flat = [w for text in found for w in text]
         new = [w for w in dict.fromkeys(flat) if w not in self.number]
-        for at in range(0, len(new), 50_000):
-            part = new[at:at + 50_000]
+        for at in range(0, len(new), 20_000):
+            part = new[at:at + 20_000]
             self.number |= zip(part, range(len(self.number), len(self.number) + len(part)))
             more = self.model.tables(part)
             self.tables = {d: np.concatenate([self.tables[d], more[d]]) if self.tables else more[d] for d in "fb"}

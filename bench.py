@@ -16,7 +16,7 @@ HEADLINE = [
     "fair_share_select", "fair_share_select_full", "drain_batches", "backlog_probe", "unroutable_audit", "triage",
     "pubsub_messages", "sqs_entries", "prepared_messages", "pubsub_order_groups", "sqs_chunks", "classify_pubsub_ordered",
     "head_of_line", "settle_outcomes", "batch_stats", "dead_letters", "pending_after_settle", "counters_running",
-    "suppress_failures", "audit_missing", "audit_order", "audit_latency", "gen_power_law",
+    "suppress_failures", "audit_missing", "audit_order", "audit_latency",
 ]
 
 

@@ -207,6 +207,14 @@ def test_nothing_is_lost_when_a_batch_dies(spark, tmp_path):
     assert {s[3] for s in delivered(tmp_path)} == set(range(60))
 
 
+def test_a_target_without_publisher_fails_the_batch(spark, tmp_path):
+    box = outbox(spark, [(1, "p", PUBSUB, "topic-a", None), (2, "p", SQS, "q", None)])
+    relay = new_relay(spark, tmp_path)
+    with pytest.raises(ValueError, match="no publisher"):
+        replace(relay, publishers={PUBSUB: relay.publishers[PUBSUB]}).run_batch(box, 0)
+    assert relay.tables.settled().isEmpty() and not delivered(tmp_path)
+
+
 def test_a_deadline_on_a_key_commits_then_stops(spark, tmp_path):
     box = outbox(spark, [(i, "p", PUBSUB, "topic-a", keyed(PUBSUB, "k")) for i in range(4)])
     relay = new_relay(spark, tmp_path, lambda r: ("deadline", None, "slow", False) if r.id == 2 else ("ok", None, None, False))

@@ -109,13 +109,13 @@ def _(spark, d):
 
 @query("stream_suppress_failures", EMITTED_SQL)
 def _(spark, d):
-    """Failure records arriving in time order, a slice of history per micro-batch."""
+    """Failure records arriving in time order: a slice of history, then a run of the stream over what is new."""
     tables = new_tables(spark)
     records = failure_records(spark, d)
     stored = tables.path("source")
     for part in ("at < '2024-01-11'", "at >= '2024-01-11' AND at < '2024-01-21'", "at >= '2024-01-21'"):
-        records.filter(part).coalesce(1).write.mode("append").parquet(stored)
-    arrivals = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(stored)
-    suppress_stream(arrivals, HOUR, tables, tables.path("checkpoint"), {"availableNow": True}).awaitTermination()
+        records.filter(part).write.mode("append").parquet(stored)
+        arrivals = spark.readStream.schema(records.schema).parquet(stored)
+        suppress_stream(arrivals, HOUR, tables, tables.path("checkpoint"), {"availableNow": True}).awaitTermination()
     emitted = tables.read("emitted", "signature string, at timestamp, id bigint, suppressed_count bigint")
     return emitted.select("signature", F.unix_micros("at").alias("at_us"), "id", "suppressed_count")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.session import shared_dir
 
@@ -26,11 +28,20 @@ def blank_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of a bounded number of rows."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, text_column: int | None = None, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a bounded number of rows, and of about ``size`` bytes of one column."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.zeros(batch.num_rows)
+        if text_column is not None and batch.num_rows:
+            lengths = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths, dtype=np.int64) // size
+        at = 0
+        while at < batch.num_rows:
+            stop = min(at + rows, batch.num_rows)
+            if text_column is not None:
+                stop = min(stop, max(at + 1, int(np.searchsorted(ends, ends[at], "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -45,6 +56,20 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_parts(items: DataFrame, id_col: str, text_col: str, max_bytes: int, max_items: int) -> Iterator[list[tuple[int | None, bytes, int]]]:
+    """All distinct rows of a small table, with how often each stands there, in lists of a bounded size, one at a time.
+
+    The size is measured first and no row is left out.
+    """
+    rows = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("text"))
+    rows = rows.groupBy("item", "text").agg(F.count(F.lit(1)).alias("times"))
+    size, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    parts = max(1, -(-size // max_bytes), -(-count // max_items))
+    for part in range(parts):
+        of_part = rows if parts == 1 else rows.filter(f"pmod(xxhash64(item, text), {parts}) = {part}")
+        yield [(r["item"], bytes(r["text"] or b""), r["times"]) for r in of_part.collect()]
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder given as a path or as a URI."""
     return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)

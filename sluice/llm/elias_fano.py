@@ -74,13 +74,24 @@ class EliasFano:
         part = bytes(self.low[start // 8:(start + self.width + 7) // 8])
         return int.from_bytes(part, "little") >> (start % 8) & ((1 << self.width) - 1)
 
-    def values(self) -> np.ndarray:
-        """All values."""
-        if not self.n:
+    def select_range(self, first: int, stop: int) -> np.ndarray:
+        """Values ``first`` to ``stop`` - 1, read from the sample before the first to the one after the last."""
+        if not 0 <= first <= stop <= self.n:
+            raise IndexError((first, stop))
+        if first == stop:
             return np.zeros(0, dtype=np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
-        low = np.zeros(self.n, dtype=np.int64)
+        begin, skip, after = int(self.samples[first // EVERY]), first % EVERY, (stop - 1) // EVERY + 1
+        byte, last = begin // 8, int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        run = np.unpackbits(self.high[byte:last], bitorder="little")
+        run[:begin % 8] = 0
+        ones = byte * 8 + np.flatnonzero(run)[skip:skip + stop - first]
+        low = np.zeros(stop - first, dtype=np.int64)
         if self.width:
-            bits = np.unpackbits(self.low, bitorder="little")[:self.n * self.width].reshape(self.n, self.width)
-            low = bits.astype(np.int64) @ (np.int64(1) << np.arange(self.width, dtype=np.int64))
-        return self.base + ((ones - np.arange(self.n)) << self.width | low)
+            at = first * self.width
+            bits = np.unpackbits(self.low[at // 8:(stop * self.width + 7) // 8], bitorder="little")[at % 8:][:(stop - first) * self.width]
+            low = bits.reshape(-1, self.width).astype(np.int64) @ (np.int64(1) << np.arange(self.width, dtype=np.int64))
+        return self.base + ((ones - np.arange(first, stop)) << self.width | low)
+
+    def values(self) -> np.ndarray:
+        """All values."""
+        return self.select_range(0, self.n)

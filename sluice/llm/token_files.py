@@ -34,7 +34,7 @@ from sluice.session import shuffle_width
 MAGIC = b"EFTOKEN1"
 FOOT = "<QQQQB7x"
 FILES = "file_no int, path string, documents long, tokens long, first_id long, bytes long"
-READ = "file_no int, doc_id long, at long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long, file_no int"
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -52,23 +52,23 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
         from pyspark import TaskContext
 
         number, out, ids, ends, nulls, path = TaskContext.get().partitionId(), None, [], [0], 0, ""
-        coder, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if out is None:
-                    store, root = file_system(folder)
-                    store.create_dir(root, recursive=True)
-                    path = task_file(root, f"tokens-{number:06d}", ".bin")
-                    out = store.open_output_stream(path)
-                    out.write(MAGIC)
-                found = np.frombuffer(coder.ids(text) + end, dtype="<u4")
-                if id_bytes == 2 and len(found) and int(found.max()) > 0xFFFF:
-                    raise ValueError("the vocabulary needs id_bytes=4")
-                out.write(found.astype(width).tobytes())
-                ends.append(ends[-1] + len(found))
-                nulls += doc_id is None
-                if doc_id is not None:
-                    ids.append(doc_id)
+        coder = encoder(tokenizer)
+        for batch in slices(batches, text_column=1):
+            if out is None:
+                store, root = file_system(folder)
+                store.create_dir(root, recursive=True)
+                path = task_file(root, f"tokens-{number:06d}", ".bin")
+                out = store.open_output_stream(path)
+                out.write(MAGIC)
+            found, counts = coder.batch(batch.column(1).to_pylist())
+            found = np.insert(found, np.cumsum(counts), end_id)
+            if id_bytes == 2 and int(found.max()) > 0xFFFF:
+                raise ValueError("the vocabulary needs id_bytes=4")
+            out.write(found.astype(width).tobytes())
+            ends.extend((ends[-1] + np.cumsum(counts + 1)).tolist())
+            keys = batch.column(0).drop_null().to_pylist()
+            nulls += batch.num_rows - len(keys)
+            ids.extend(keys)
         if out is None:
             return
         bounds, keys = elias_fano.encode(np.array(ends)), elias_fano.encode(np.array(ids, dtype=np.int64))
@@ -99,6 +99,10 @@ class TokenFile:
     def key(self, i: int) -> int | None:
         return None if i < self.nulls else self.keys.select(i - self.nulls)
 
+    def key_range(self, first: int, stop: int) -> list[int | None]:
+        held = max(first, self.nulls)
+        return [None] * (min(stop, self.nulls) - first) + (self.keys.select_range(held - self.nulls, stop - self.nulls).tolist() if stop > held else [])
+
     def ids(self, i: int) -> np.ndarray:
         """Token ids of the ``i``-th document, read at the offsets that select gives."""
         return self.span(self.bounds.select(i), self.bounds.select(i + 1))
@@ -108,32 +112,34 @@ class TokenFile:
         return np.frombuffer(raw, dtype="<u2" if self.id_bytes == 2 else "<u4").astype("<u4")
 
 
-def read(files: DataFrame, folder: str, block: int = 1 << 21) -> DataFrame:
+def read(files: DataFrame, folder: str, block: int = 1 << 21, block_documents: int = 1 << 12) -> DataFrame:
     """A row per document from the files: its place, length and checksum of ids.
 
-    ``start`` counts the ids of all documents before it. Files are read in
-    blocks of about ``block`` ids, so memory does not grow with a file.
+    ``start`` counts the ids of all documents before it: those of earlier
+    files, known from the list, and the boundary that select gives. A file is
+    read in blocks of documents and, in them, of about ``block`` ids, so memory
+    does not grow with a file.
     """
-    # Few narrow rows that stand for much work: the number of tasks is given, so that they are not merged.
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for number, path, base in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 opened = TokenFile(folder, path)
-                bounds, keys = opened.bounds.values(), [None] * opened.nulls + opened.keys.values().tolist()
-                at = 0
-                while at < len(keys):
-                    stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + block, "right")) - 1)
-                    ids, base = opened.span(int(bounds[at]), int(bounds[stop])), int(bounds[at])
-                    crcs = [zlib.crc32(ids[bounds[i] - base:bounds[i + 1] - base]) for i in range(at, stop)]
-                    yield records({"file_no": ([number] * (stop - at), pa.int32()), "doc_id": (keys[at:stop], pa.int64()),
-                                   "at": (bounds[at:stop], pa.int64()), "n_tokens": (np.diff(bounds[at:stop + 1]), pa.int64()),
-                                   "ids_crc32": (crcs, pa.int64())})
-                    at = stop
-
-    rows = files.select("file_no", "path").repartition(shuffle_width(files.sparkSession), "file_no").mapInArrow(decode, READ)
+                for first in range(0, len(opened), block_documents):
+                    stop = min(first + block_documents, len(opened))
+                    bounds, keys, at = opened.bounds.select_range(first, stop + 1), opened.key_range(first, stop), 0
+                    while at < stop - first:
+                        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + block, "right")) - 1)
+                        ids, zero = opened.span(int(bounds[at]), int(bounds[to])), int(bounds[at])
+                        crcs = [zlib.crc32(ids[a - zero:b - zero]) for a, b in zip(bounds[at:to].tolist(), bounds[at + 1:to + 1].tolist())]
+                        yield records({"doc_id": (keys[at:to], pa.int64()), "start": (base + bounds[at:to], pa.int64()),
+                                       "n_tokens": (np.diff(bounds[at:to + 1]), pa.int64()), "ids_crc32": (crcs, pa.int64()),
+                                       "file_no": ([number] * (to - at), pa.int32())})
+                        at = to
+
     # One narrow row per file.
-    bases = files.selectExpr("file_no", "sum(tokens) OVER (ORDER BY file_no) - tokens AS base")
-    return rows.join(bases, "file_no").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "file_no")
+    placed = files.selectExpr("file_no", "path", "sum(tokens) OVER (ORDER BY file_no) - tokens AS base")
+    # Few narrow rows that stand for much work: the number of tasks is given, so that they are not merged.
+    return placed.repartition(shuffle_width(files.sparkSession), "file_no").mapInArrow(decode, READ)
 
 
 @query("op1_token_files")

@@ -9,12 +9,12 @@ from array import array
 
 import numpy as np
 
-#: Segments begin and end where the byte-level pre-tokenizer always cuts: before white space that follows
-#: something else, and between a letter or digit and a punctuation mark that does not join words.
-SEGMENT = re.compile(r"\s*[^\W_]+(?=[\s.,;:!?]|\Z)|\s*\S+|\s+")
-#: Segments that the pre-tokenizer leaves whole: Latin letters, perhaps after one blank.
-WHOLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
-CACHE_SEGMENTS = 400_000
+from sluice.llm.segments import SegmentTable, joinable, starts_of
+
+#: New segments are handed to the library in texts of about this many bytes.
+JOINED = 1 << 15
+#: Segments that the pre-tokenizer leaves whole: letters up to U+00FF, perhaps after one blank.
+WHOLE = re.compile(rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -25,13 +25,11 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library, each distinct segment once.
+    """Encodes texts with the tokenizers library as it is, each distinct segment once.
 
-    Under a byte-level pre-tokenizer no merge crosses a cut, so the ids of a
-    text are those of its segments in a row. Words recur, so the library sees
-    a new segment once per worker. The cache has two halves; when the new one
-    is full it becomes the old one, so words in use stay. With any other
-    pre-tokenizer texts are encoded whole.
+    Added tokens inside a text are the library's to find, as by default.
+    Segments apply to byte-level vocabularies without a normalizer, whose added
+    tokens no segment cut divides; with any others texts are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -39,51 +37,77 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
         parts = json.loads(self.tokenizer.to_str())
-        cuts = parts["pre_tokenizer"] or {}
+        cuts, added = parts["pre_tokenizer"] or {}, parts["added_tokens"]
+        self.added = {t["content"].encode(): t["id"] for t in added}
         self.by_segment = (parts["normalizer"] is None and parts["model"]["type"] == "BPE" and cuts.get("type") == "ByteLevel"
-                           and not cuts.get("add_prefix_space") and cuts.get("use_regex", True))
-        self.alphabet, self.new, self.old = byte_alphabet(), {}, {}
+                           and not cuts.get("add_prefix_space") and cuts.get("use_regex", True) and not parts["truncation"] and not parts["padding"]
+                           and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip"))
+                           and all(len(starts_of(np.frombuffer(b"x" + t, dtype=np.uint8))) == 1 for t in self.added))
+        if self.by_segment:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.token_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+            for token, i in vocabulary.items():
+                self.token_bytes[i] = len(token)
+            for token, i in self.added.items():
+                self.token_bytes[i] = len(token)
+            self.alphabet = byte_alphabet()
+            self.table = SegmentTable(self._learn, np.uint32)
 
     def ids(self, text: bytes | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; none for null."""
-        if not text:
-            return b""
-        if not self.by_segment:
-            return self._whole([text.decode("utf-8", "replace")])[0]
-        segments = SEGMENT.findall(text.decode("utf-8", "replace"))
-        known = self.new
-        missing = [s for s in set(segments) if s not in known]
-        if missing:
-            if len(known) > CACHE_SEGMENTS:
-                self.old, self.new = known, {}
-                known, missing = self.new, list(set(segments))
-            self._learn(missing)
-        return b"".join(map(known.__getitem__, segments))
-
-    def _learn(self, segments: list[str]) -> None:
-        old, new, rest = self.old, self.new, []
-        tokenize, alphabet, whole = self.tokenizer.model.tokenize, self.alphabet, WHOLE.fullmatch
-        for s in segments:
-            if s in old:
-                new[s] = old[s]
-            elif whole(s):
-                new[s] = array("I", [t.id for t in tokenize(s.encode().decode("latin-1").translate(alphabet))]).tobytes()
-            else:
-                rest.append(s)
-        new.update(zip(rest, self._whole(rest)))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
+        return self.batch([text])[0].astype("<u4").tobytes()
+
+    def batch(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        texts = [t or b"" for t in texts]
+        return self.table.texts(texts) if self.by_segment else self._whole(texts)
+
+    def _learn(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found: list[array | None] = [None] * len(segments)
+        tokenize, alphabet, whole, joined = self.tokenizer.model.tokenize, self.alphabet, WHOLE.fullmatch, []
+        for i, s in enumerate(segments):
+            if whole(s) and s not in self.added:
+                found[i] = array("I", [t.id for t in tokenize(s.decode("latin-1").translate(alphabet))])
+            elif joinable(s):
+                joined.append(i)
+        if joined:
+            self._learn_joined(segments, joined, found)
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        ids, sizes = self._whole([segments[i] for i in rest])
+        for i, part in zip(rest, np.split(ids, np.cumsum(sizes)[:-1]) if rest else []):
+            found[i] = array("I", part.tobytes())
+        return np.frombuffer(b"".join(found), dtype=np.uint32), np.array(list(map(len, found)), dtype=np.int64)
+
+    def _learn_joined(self, segments: list[bytes], chosen: list[int], found: list[array | None]) -> None:
+        """Encode segments in a row, several to a text, and deal the ids out by the bytes that each stands for."""
+        lengths = np.array([len(segments[i]) for i in chosen], dtype=np.int64)
+        heads = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // JOINED, prepend=-1))
+        groups = [chosen[a:b] for a, b in zip(heads, [*heads[1:], len(chosen)])]
+        try:
+            texts = [b"".join([segments[i] for i in g]).decode() for g in groups]
+        except UnicodeDecodeError:
+            return
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids, begin = array("I", encoded.ids), 0
+            ends = np.cumsum(self.token_bytes[ids])
+            stops = np.searchsorted(ends, np.cumsum([len(segments[i]) for i in group])) + 1
+            for i, stop in zip(group, stops.tolist()):
+                found[i], begin = ids[begin:stop], stop
+
+    def _whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not texts:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        found = [np.array(f.ids, dtype=np.uint32) for f in
+                 self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        return np.concatenate(found), np.array([len(f) for f in found], dtype=np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(tokenizer_file: str) -> Encoder:
-    """The encoder of this worker process, with its cache."""
+    """The encoder of this worker process, with its table of segments."""
     if tokenizer_file not in _ENCODERS:
         _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
     return _ENCODERS[tokenizer_file]

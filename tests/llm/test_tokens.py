@@ -1,5 +1,6 @@
 """Token files, Elias-Fano lists and packing."""
 
+import random
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from odd_rows import no_docs, odd_docs  # noqa: F401
-from sluice.llm import elias_fano, packing, token_files
+from sluice.llm import elias_fano, packing, segments, token_files
 from sluice.llm.common import scratch
 from sluice.llm.tokens import Encoder, default_tokenizer
 
@@ -17,7 +18,6 @@ def library():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(default_tokenizer())
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -28,6 +28,8 @@ def test_elias_fano_round_trip(values):
     held = elias_fano.EliasFano(elias_fano.encode(np.array(values, dtype=np.int64)))
     assert held.values().tolist() == values
     assert [held.select(i) for i in range(len(values))] == values
+    for first in range(0, len(values), 97):
+        assert held.select_range(first, min(first + 300, len(values))).tolist() == values[first:first + 300]
 
 
 def test_elias_fano_is_small():
@@ -35,12 +37,51 @@ def test_elias_fano_is_small():
     assert len(elias_fano.encode(values)) < 10_000 * 12 / 8 + 600
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab Zé'.,!?\n\t 　½²1_<|>ßſ中", max_size=60))
-def test_segments_encode_like_whole_texts(text):
-    test_segments_encode_like_whole_texts.coder = coder = getattr(test_segments_encode_like_whole_texts, "coder", None) or Encoder(default_tokenizer())
-    whole = coder.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(coder.ids(text.encode()), dtype="<u4").tolist() == whole
+ODD_TEXT = st.lists(st.one_of(st.text(alphabet="ab Zé'.,!?\n\t\u3000\xa0\x1f½²1_<|>ßſ中\u2028", max_size=12),
+                              st.sampled_from(["<|endoftext|>", "<|endoftext|", "'re", " 'll", "  ", "\n\n", "word", " word", " déjà.", "…."])),
+                    max_size=14).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ODD_TEXT, max_size=5))
+def test_segments_encode_like_whole_texts(texts):
+    from tokenizers import Tokenizer
+
+    own = test_segments_encode_like_whole_texts
+    own.plain = plain = getattr(own, "plain", None) or Tokenizer.from_file(default_tokenizer())
+    own.coder = coder = getattr(own, "coder", None) or Encoder(default_tokenizer())
+    assert coder.by_segment
+    whole = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = coder.batch([t.encode() for t in texts])
+    assert counts.tolist() == [len(w) for w in whole] and ids.tolist() == [i for w in whole for i in w]
+
+
+def test_long_texts_and_full_tables_encode_alike(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng, plain = random.Random(4), Tokenizer.from_file(default_tokenizer())
+    text = "".join(rng.choice(["ab", "éa ", " the", "\n", "  ", "中文", "x" * 50, ". ", "'s"]) for _ in range(30_000)) + "y" * 9000
+    monkeypatch.setattr(segments, "PIECE", 5000)
+    coder = Encoder(default_tokenizer())
+    coder.table = segments.SegmentTable(coder._learn, np.uint32, max_segments=300)
+    monkeypatch.setattr(segments.SegmentTable, "_hash", lambda self, data, starts, lengths: (lengths % 7).astype(np.uint64))
+    assert coder.batch([text.encode(), None, b"a b"])[0].tolist() == [i for t in (text, "a b") for i in plain.encode(t, add_special_tokens=False).ids]
+
+
+def test_token_file_lookups(spark, odd_docs, library):
+    folder = scratch(spark, "t")
+    texts = sorted(((r["doc_id"], r["text"]) for r in odd_docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    for f in token_files.write(odd_docs, folder, default_tokenizer()).orderBy("file_no").collect():
+        opened = token_files.TokenFile(folder, f["path"])
+        assert len(opened) == f["documents"]
+        for i in range(len(opened)):
+            doc_id = opened.key(i)
+            assert opened.ids(i).tolist() in [library(t) + [0] for d, t in texts if d == doc_id]
+        for bad in (b"", b"EFTOKEN1" + bytes(60)):
+            with open(f["path"] + "x", "wb") as out:
+                out.write(bad)
+            with pytest.raises(Exception):
+                token_files.TokenFile(folder, f["path"] + "x")
 
 
 def test_token_files(spark, odd_docs, no_docs, library):

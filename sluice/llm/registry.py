@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
 
 
 def load() -> tuple[dict[str, Build], dict[str, str]]:
-    from sluice.llm import (archives, contamination, licenses, ngram_join, packing, quality, shards, token_files,  # noqa: F401
+    from sluice.llm import (archives, ball_tree, contamination, divergence, licenses, ngram_join, packing, prefix_counts, quality, shards, token_files,  # noqa: F401
                             toxicity, url_rules)
     import corpus_pipeline
 

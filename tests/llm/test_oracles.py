@@ -22,5 +22,5 @@ def test_matches_sql(spark, con, name):
 def test_all_operators_are_registered():
     import __spark_entry__ as contract
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 14))
     assert set(QUERIES) <= set(contract.queries())

@@ -9,8 +9,9 @@ many, all alike, and their number follows the number of documents, so neither
 a hot source nor a growing table makes a group large.
 
 Null or empty text: one piece with the end id only. Rows repeated with one id
-are packed as separate documents in one group, in the order of their ids'
-checksums. Null ids are packed like others. An empty table gives no rows.
+are packed as separate documents; the group also depends on a row's place in
+its task, so any number of equal rows is spread. Lengths and checksums are a
+written table, so a lost task finds the same places again. Null ids are packed like others. An empty table gives no rows.
 Other columns are unused.
 """
 
@@ -23,13 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm.common import records, slices
+from sluice.llm.common import records, slices, written
 from sluice.llm.registry import query
 from sluice.llm.tokens import default_tokenizer, encoder
 
 LENGTH = 2048
 GROUP_DOCUMENTS = 4096
-PIECES = "doc_id long, doc_tokens long, crcs array<long>, text_key int"
+PIECES = "doc_id long, doc_tokens long, crcs array<long>, row_key long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -67,18 +68,17 @@ def first_fit_decreasing(sizes: list[int], length: int) -> tuple[list[int], list
 
 
 def cut(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, length: int) -> DataFrame:
-    """Per document its number of ids and the checksum of each piece."""
+    """Per document its number of ids, the checksum of each piece and its place in the task."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches):
-            ids, totals, crcs, keys = batch.column(0).to_pylist(), [], [], []
-            for text in batch.column(1).to_pylist():
-                found = coder.ids(text) + end
-                totals.append(len(found) // 4)
-                crcs.append([zlib.crc32(found[at:at + 4 * length]) for at in range(0, len(found), 4 * length)])
-                keys.append(zlib.crc32(found) & 0x7FFFFFFF)
-            yield records({"doc_id": (ids, pa.int64()), "doc_tokens": (totals, pa.int64()), "crcs": (crcs, pa.list_(pa.int64())),
-                           "text_key": (keys, pa.int32())})
+        coder, row = encoder(tokenizer), 0
+        for batch in slices(batches, text_column=1):
+            found, counts = coder.batch(batch.column(1).to_pylist())
+            raw, totals = memoryview(np.insert(found, np.cumsum(counts), end_id).astype("<u4")).cast("B"), (counts + 1).tolist()
+            ends = (4 * np.cumsum(counts + 1)).tolist()
+            crcs = [[zlib.crc32(raw[at:min(at + 4 * length, end)]) for at in range(end - 4 * n, end, 4 * length)] for n, end in zip(totals, ends)]
+            yield records({"doc_id": (batch.column(0).to_pylist(), pa.int64()), "doc_tokens": (totals, pa.int64()),
+                           "crcs": (crcs, pa.list_(pa.int64())), "row_key": (range(row, row + len(totals)), pa.int64())})
+            row += len(totals)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(encode, PIECES)
 
@@ -89,13 +89,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     Only ids, lengths and checksums are shuffled, never texts or token ids.
     """
-    spark = docs.sparkSession
-    groups = max(1, -(-docs.count() // group_documents))
-    grouped = cut(docs, tokenizer, id_col, text_col, end_id, length).withColumn(
-        "group_no", F.expr(f"pmod(xxhash64(doc_id, text_key, {seed}), {groups})"))
+    pieces = written(cut(docs, tokenizer, id_col, text_col, end_id, length), "pieces")
+    groups = max(1, -(-pieces.count() // group_documents))
+    grouped = pieces.withColumn("group_no", F.expr(f"pmod(xxhash64(doc_id, doc_tokens, row_key, {seed}), {groups})"))
 
     def place(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text_key"]))
+        rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["crcs"]))
         rest = [r["doc_tokens"] % length for r in rows]
         partial = [i for i, n in enumerate(rest) if n]
         bins, offsets = first_fit_decreasing([rest[i] for i in partial], length)

@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sluice.llm.common import records, slices, written
 from sluice.llm.registry import query
 from sluice.llm.segments import SegmentTable
-from sluice.llm.tokens import byte_alphabet, default_tokenizer, encoder
+from sluice.llm.tokens import WHOLE, byte_alphabet, default_tokenizer, encoder
 
 LIMIT = 1024
 #: The byte-level pre-tokenizer's fixed pattern.
@@ -64,82 +65,107 @@ class PrefixDP:
         for token in coder.added:
             self.tokens.pop(token, None)
         self.alphabet, self.tokenize = byte_alphabet(), coder.tokenizer.model.tokenize
-        self.starts = {t[:n] for t in self.tokens for n in range(1, len(t) + 1)}
+        self.endings = {t[n:] for t in self.tokens for n in range(len(t))}
         self.added, self.fits = sorted(coder.added, key=len, reverse=True), {}
         self.find_added = regex.compile("|".join(regex.escape(t.decode()) for t in self.added)) if self.added else None
         self.table = SegmentTable(self.learn, np.int32)
 
     def neighbours(self, left: bytes, right: bytes) -> bool:
         """Whether the two tokens in a row are what the library makes of their bytes; ``left`` may be empty."""
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) > MAX_PAIRS:
-                self.fits.clear()
-            found = [t.id for t in self.tokenize((left + right).decode("latin-1").translate(self.alphabet))]
-            known = self.fits[left, right] = found == [self.tokens[t] for t in (left, right) if t]
+        if len(self.fits) > MAX_PAIRS:
+            self.fits.clear()
+        found = [t.id for t in self.tokenize((left + right).decode("latin-1").translate(self.alphabet))]
+        known = self.fits[left, right] = found == [self.tokens[t] for t in (left, right) if t]
         return known
 
+    def extend(self, data: bytes, counts: list[int], last: list[bytes]) -> None:
+        """Fill in counts and last tokens of the prefixes of one pre-token that are longer than those given.
+
+        ``counts[i]`` and ``last[i]`` belong to the prefix of ``i`` bytes. The
+        last token is one of the prefix's endings, and exactly one fits.
+        """
+        tokens, endings, fits = self.tokens, self.endings, self.fits
+        for stop in range(len(counts), len(data) + 1):
+            start = stop - 1
+            while start >= 0 and (token := data[start:stop]) in endings:
+                if token in tokens:
+                    before = last[start]
+                    known = fits.get((before, token))
+                    if known or known is None and self.neighbours(before, token):
+                        break
+                start -= 1
+            last.append(token)
+            counts.append(counts[start] + 1)
+
     def pre_token(self, data: bytes) -> list[int]:
         """Counts of the prefixes of 1, 2, ... bytes of one pre-token."""
-        n, tokens, starts, neighbours = len(data), self.tokens, self.starts, self.neighbours
-        counts, last = [0] * (n + 1), [b""] * (n + 1)
-        for i in range(n):
-            before, stop = last[i], i + 1
-            while stop <= n and (token := data[i:stop]) in starts:
-                if not last[stop] and token in tokens and neighbours(before, token):
-                    last[stop], counts[stop] = token, counts[i] + 1
-                stop += 1
+        counts, last = [0], [b""]
+        self.extend(data, counts, last)
         return counts[1:]
 
-    def text(self, text: str) -> np.ndarray:
+    def text(self, text: str) -> list[int]:
         """Counts of the prefixes that end at each byte of a text without whole added tokens."""
-        out, base = [], 0
-        pre_tokens = PRE_TOKEN.findall(text)
-        i = 0
+        out, base, i, pre_tokens = [], 0, 0, PRE_TOKEN.findall(text)
         while i < len(pre_tokens):
             token = pre_tokens[i]
             counts = self.pre_token(token.encode())
-            own, total = counts, counts[-1]
+            total = counts[-1]
             if token.isspace() and i + 1 < len(pre_tokens) and pre_tokens[i + 1][0].isspace():
                 # White space before a word: its last character stands with the word, or alone, but ends a prefix as part of the run.
                 follower = pre_tokens[i + 1]
-                head = follower[0]
-                whole = self.pre_token((token + head).encode())
                 rest = self.pre_token(follower.encode())
-                out.append(base + np.array(whole))
-                out.append(base + total + np.array(rest[len(head.encode()):], dtype=np.int64))
-                base += total + rest[-1]
+                out += [base + n for n in self.pre_token((token + follower[0]).encode())]
+                base += total
+                out += [base + n for n in rest[len(follower[0].encode()):]]
+                base += rest[-1]
                 i += 2
                 continue
             if token in LONG_CONTRACTIONS:
-                own = [counts[0], counts[0] + self.pre_token(token[1:2].encode())[0], total]
-            out.append(base + np.array(own))
+                counts[1] = counts[0] + self.pre_token(token[1:2].encode())[0]
+            out += [base + n for n in counts]
             base += total
             i += 1
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+        return out
 
-    def segment(self, text: str) -> np.ndarray:
+    def segment(self, text: str) -> list[int]:
         """Counts of the prefixes that end at each byte."""
-        parts, base, at = [], 0, 0
+        out, base, at = [], 0, 0
         for hit in (self.find_added.finditer(text) if self.find_added else ()):
             before = text[at:hit.start()]
-            counts = self.text(before + hit[0][:-1])
-            parts.append(base + counts)
-            base += (int(self.text(before)[-1]) if before else 0) + 1
-            parts.append(np.full(len(hit[0][-1].encode()), base))
+            out += [base + n for n in self.text(before + hit[0][:-1])]
+            base += (self.text(before)[-1] if before else 0) + 1
+            out += [base] * len(hit[0][-1].encode())
             at = hit.end()
-        return np.concatenate([*parts, base + self.text(text[at:])])
+        return out + [base + n for n in self.text(text[at:])]
 
     def learn(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The step at each byte of each segment; ``INSIDE`` where the next byte belongs to the same character."""
-        found = []
-        for raw in segments:
-            steps = np.full(len(raw), INSIDE, dtype=np.int32)
-            data = np.frombuffer(raw, dtype=np.uint8)
-            ends = np.append(data[1:] & 0xC0 != 0x80, True)
-            steps[ends] = np.diff(self.segment(raw.decode("utf-8"))[ends], prepend=0)
-            found.append(steps)
-        return np.concatenate(found), np.array([len(s) for s in segments], dtype=np.int64)
+        """The step at each byte of each segment; ``INSIDE`` where the next byte belongs to the same character.
+
+        Segments that are one word are taken in order of their bytes, and one
+        goes on from where it leaves the one before.
+        """
+        found: list[list[int]] = [[]] * len(segments)
+        counts, last, known = [0], [b""], b""
+        for i in sorted(range(len(segments)), key=segments.__getitem__):
+            raw = segments[i]
+            if WHOLE.fullmatch(raw) and raw not in self.added:
+                same, most = 0, min(len(raw), len(known))
+                while same < most and raw[same] == known[same]:
+                    same += 1
+                del counts[same + 1:], last[same + 1:]
+                self.extend(raw, counts, last)
+                known, ends = raw, counts
+            else:
+                ends = [0, *self.segment(raw.decode())]
+            if raw.isascii():
+                found[i] = [b - a for a, b in zip(ends, ends[1:])]
+                continue
+            steps, before = [INSIDE] * len(raw), 0
+            for at in range(len(raw)):
+                if at + 1 == len(raw) or raw[at + 1] & 0xC0 != 0x80:
+                    steps[at], before = ends[at + 1] - before, ends[at + 1]
+            found[i] = steps
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32), np.array(list(map(len, found)), dtype=np.int64)
 
 
 class PrefixCounts:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from sluice.config import PUBSUB, SQS
 from sluice.functions.once import micros, text
 from sluice.functions.pubsub import permanent_error
-from sluice.functions.sqs import INVALID_QUEUE
+from sluice.functions.sqs import INVALID_QUEUE, permanent_request_error
 from sluice.session import stored
 
 # Windows per block, and blocks per span.
@@ -49,6 +49,24 @@ def attempt_signatures(messages: DataFrame, attempts: DataFrame) -> DataFrame:
     return rows.selectExpr("id", f"concat_ws('|', '{PUBSUB}', topic, ordering_key, message) AS signature")
 
 
+def response_signatures(entries: DataFrame, responses: DataFrame) -> DataFrame:
+    """(id, signature) of failed SQS sends.
+
+    A failed entry is one failure. A request that failed whole is one, under
+    its first entry; one refused for good is a failure only where it held a
+    single entry, as otherwise its entries go out again alone.
+    """
+    rows = entries.filter("reason IS NULL").select("id", "queue", "chunk_no")
+    together = "OVER (PARTITION BY queue, chunk_no, CASE WHEN chunk_no IS NULL THEN id END)"
+    sized = rows.selectExpr("*", f"count(*) {together} AS _n", f"min(id) {together} AS _first")
+    said = responses.filter("status <> 'ok'").join(sized, "id").selectExpr(
+        "*", "attempt = 1 AND _n > 1 AS _shared", f"{permanent_request_error('code')} AS _refused")
+    entry = said.filter("status = 'error'").selectExpr("id", f"concat_ws('|', '{SQS}', queue, code, message) AS signature")
+    request = said.filter("status = 'request_error' AND (NOT _shared OR (id = _first AND NOT _refused))").selectExpr(
+        "id", f"concat_ws('|', '{SQS}', queue, message) AS signature")
+    return entry.unionByName(request)
+
+
 def failure_signatures(*records: DataFrame) -> DataFrame:
     """Failure records per signature."""
     union = records[0]

@@ -7,34 +7,51 @@ from pyspark.sql import DataFrame, functions as F
 from sluice.operators import chunks as C, messages as M, routing, triage as T
 from sluice.plans.catalog import query
 from sluice.plans.sqltext import over
-from sluice.plans.testdata import CONFIG, NOW, outbox
+from sluice.plans.testdata import CONFIG, NOW, new_tables, outbox
 from sluice.session import spread, stored
+from sluice.sources.publish import write_messages
 
 
 def triaged(spark, d) -> DataFrame:
     return T.triage(spread(routing.routable_events(outbox(spark, d), CONFIG)), CONFIG, NOW)
 
 
-def provider_events(spark, d) -> DataFrame:
-    return M.provider_events(triaged(spark, d), CONFIG)
+def stored_triage(spark, d) -> DataFrame:
+    """Verdicts of all routable rows, their options parsed once, for jobs that read them repeatedly.
 
+    Only rows that are sent keep their payload.
+    """
+    return stored(triaged(spark, d).selectExpr("id", "event_ts", "resolved_target", "resolved_destination", "triage", "reason",
+                                               "CASE WHEN triage = 'dispatch' THEN payload END AS payload", "_section"))
 
-def messages(spark, d) -> DataFrame:
-    return M.pubsub_messages(provider_events(spark, d))
 
+def provider_events(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    return M.provider_events(triaged(spark, d) if rows is None else rows, CONFIG)
 
-def entries(spark, d) -> DataFrame:
-    return M.sqs_entries(provider_events(spark, d), CONFIG)
 
+def messages(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    return M.pubsub_messages(provider_events(spark, d, rows))
 
-def stored_messages(spark, d) -> DataFrame:
+
+def entries(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    return M.sqs_entries(provider_events(spark, d, rows), CONFIG)
+
+
+def stored_messages(spark, d, rows: DataFrame | None = None) -> DataFrame:
     """Verdicts of the prepared messages, for queries that read them repeatedly."""
-    return stored(messages(spark, d).select("id", "topic", "ordering_key", "reason", "rejected_field"))
+    return stored(messages(spark, d, rows).select("id", "topic", "ordering_key", "reason", "rejected_field"))
+
+
+def stored_entries(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    return stored(entries(spark, d, rows).select("id", "queue", "fifo", "message_group_id", "deduplication_id", "given_group",
+                                                 "message_size", "reason", "rejected_field"))
 
 
-def stored_entries(spark, d) -> DataFrame:
-    return stored(entries(spark, d).select("id", "queue", "fifo", "message_group_id", "deduplication_id", "given_group",
-                                           "message_size", "reason", "rejected_field"))
+def chunked_entries(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    """Stored entries with the chunk of their request; entries of FIFO queues and refused ones have none."""
+    every = stored_entries(spark, d, rows)
+    chunks = C.greedy_chunks(every.filter("reason IS NULL AND NOT fifo"))
+    return stored(every.join(chunks.select("id", "chunk_no"), "id", "left"))
 
 
 def sized_standard_entries(spark, d) -> DataFrame:
@@ -63,8 +80,11 @@ def _(spark, d):
 SELECT 'pubsub' AS target, topic AS destination, id, ordering_key AS order_key, data AS body FROM messages WHERE reason IS NULL
 UNION ALL SELECT 'sqs', queue, id, message_group_id, body FROM entries WHERE reason IS NULL"""))
 def _(spark, d):
+    """Prepared messages by way of the message table, split by target."""
     events = provider_events(spark, d)
-    return M.prepared(M.pubsub_messages(events), M.sqs_entries(events, CONFIG))
+    rows, path = M.prepared(M.pubsub_messages(events), M.sqs_entries(events, CONFIG)), new_tables(spark).path("prepared")
+    write_messages(rows, path)
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
 @query("pubsub_messages", over("messages", """

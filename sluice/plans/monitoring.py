@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from sluice.operators import failures, stats
 from sluice.plans.catalog import query
-from sluice.plans.messaging import stored_entries, stored_messages
+from sluice.plans.messaging import chunked_entries, stored_messages, stored_triage
 from sluice.plans.sqltext import over
-from sluice.plans.testdata import CONFIG, NOW, attempts, batch_log, events
+from sluice.plans.testdata import CONFIG, NOW, attempts, batch_log, events, responses
 
 HOUR = timedelta(hours=1)
 COUNTER_SQL = {
@@ -102,7 +102,7 @@ def _(spark, d):
     return failures.suppress_failures(failure_records(spark, d), HOUR).withColumn("at_us", F.unix_micros("at")).drop("at")
 
 
-@query("failure_signatures", over("messages entries attempts", """
+@query("failure_signatures", over("messages attempts sqs_requests", """
 SELECT signature, count(*) AS failures FROM (
   SELECT concat_ws('|', 'pubsub', topic, rejected_field, 'malformed-options') AS signature FROM messages WHERE rejected_field IS NOT NULL
   UNION ALL
@@ -113,8 +113,16 @@ SELECT signature, count(*) AS failures FROM (
   FROM attempts a JOIN messages m ON m.id = a.id WHERE first IN ('deadline', 'retryable')
   UNION ALL
   SELECT concat_ws('|', 'pubsub', topic, ordering_key, CASE retry WHEN 'permanent' THEN 'rejected ' || CAST(m.id AS VARCHAR) ELSE 'unavailable' END)
-  FROM attempts a JOIN messages m ON m.id = a.id WHERE retry IN ('permanent', 'retryable')) f
+  FROM attempts a JOIN messages m ON m.id = a.id WHERE retry IN ('permanent', 'retryable')
+  UNION ALL
+  SELECT concat_ws('|', 'sqs', queue, CASE WHEN id % 19 = 0 THEN 'InvalidParameterValue|bad entry' ELSE 'InternalError|try later' END)
+  FROM sqs_requests WHERE (id % 19 = 0 OR id % 23 = 0) AND id % 29 <> 0 AND NOT failed AND (NOT refused OR (members > 1 AND id % 47 <> 0 AND id % 37 <> 0))
+  UNION ALL
+  SELECT concat_ws('|', 'sqs', queue, CASE WHEN failed OR (members > 1 AND id % 47 <> 0) THEN 'try later' ELSE 'invalid characters' END)
+  FROM sqs_requests WHERE CASE WHEN failed THEN id = first_id ELSE refused AND (members = 1 OR id % 47 = 0 OR id % 37 = 0) END) f
 GROUP BY signature"""))
 def _(spark, d):
-    m, e = stored_messages(spark, d), stored_entries(spark, d)
-    return failures.failure_signatures(failures.rejection_signatures(m, e), failures.attempt_signatures(m, attempts(m)))
+    rows = stored_triage(spark, d)
+    m, e = stored_messages(spark, d, rows), chunked_entries(spark, d, rows)
+    return failures.failure_signatures(failures.rejection_signatures(m, e), failures.attempt_signatures(m, attempts(m)),
+                                       failures.response_signatures(e, responses(e)))

@@ -109,12 +109,24 @@ PUBSUB_OUTCOMES = """
          ordering_key <> '' AND (first IN ('deadline', 'retryable') OR (first = 'permanent' AND retry = 'retryable')) AS blocking
   FROM messages m JOIN attempts a ON m.id = a.id"""
 
+CHUNKED = """
+  SELECT entries.*, CASE WHEN NOT fifo THEN (row_number() OVER (PARTITION BY queue ORDER BY id) - 1) // 10 + 1 END AS chunk_no
+  FROM entries WHERE reason IS NULL"""
+
+SQS_REQUESTS = """
+  SELECT chunked.*, count(*) OVER c AS members, min(id) OVER c AS first_id, NOT fifo AND bool_or(id % 59 = 0) OVER c AS failed,
+         NOT fifo AND bool_or(id % 47 = 0) OVER c AS refused
+  FROM chunked WINDOW c AS (PARTITION BY queue, chunk_no, CASE WHEN fifo THEN id END)"""
+
 SQS_OUTCOMES = """
-  SELECT id, queue, message_group_id, fifo,
-         CASE WHEN id % 29 = 0 THEN NULL WHEN id % 19 = 0 THEN 'poison' WHEN id % 23 = 0 THEN NULL ELSE 'confirmed' END AS outcome,
-         CASE WHEN id % 29 <> 0 AND id % 19 = 0 THEN 'InvalidParameterValue: bad entry' END AS reason,
+  SELECT id, queue, message_group_id, fifo, chunk_no,
+         CASE WHEN failed THEN NULL WHEN refused AND (members = 1 OR id % 47 = 0) THEN 'poison' WHEN refused AND id % 37 = 0 THEN NULL
+              WHEN id % 29 = 0 THEN NULL WHEN id % 19 = 0 THEN 'poison' WHEN id % 23 = 0 THEN NULL ELSE 'confirmed' END AS outcome,
+         CASE WHEN failed THEN NULL WHEN refused AND (members = 1 OR id % 47 = 0) THEN 'invalid characters' WHEN refused AND id % 37 = 0 THEN NULL
+              WHEN id % 29 <> 0 AND id % 19 = 0 THEN 'InvalidParameterValue: bad entry' END AS reason,
+         CASE WHEN failed THEN id = first_id ELSE refused AND members > 1 AND id % 47 <> 0 AND id % 37 = 0 END AS error,
          fifo AND (id % 29 = 0 OR (id % 23 = 0 AND id % 19 <> 0)) AS blocking
-  FROM entries WHERE reason IS NULL"""
+  FROM sqs_requests"""
 
 DELIVERED = """
   SELECT id, destination, ordering_key, body, CASE WHEN id % 59 = 0 THEN id * 4 - 1997 ELSE id * 4 END AS arrival
@@ -152,6 +164,8 @@ VIEWS = {
     "entries": SQS_ENTRIES,
     "attempts": PUBSUB_ATTEMPTS,
     "outcomes": PUBSUB_OUTCOMES,
+    "chunked": CHUNKED,
+    "sqs_requests": SQS_REQUESTS,
     "sqs_outcomes": SQS_OUTCOMES,
     "expected": EXPECTED,
     "delivered": DELIVERED,
@@ -168,7 +182,9 @@ NEEDS = {
     "entries": ["triaged"],
     "attempts": ["messages"],
     "outcomes": ["attempts"],
-    "sqs_outcomes": ["entries"],
+    "chunked": ["entries"],
+    "sqs_requests": ["chunked"],
+    "sqs_outcomes": ["sqs_requests"],
     "expected": ["messages"],
     "delivered": ["expected"],
 }

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
 from dataclasses import replace
-from uuid import uuid4
+from datetime import timedelta
 
-from pyspark.sql import functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from sluice.config import PUBSUB, SQS
 from sluice.functions.pubsub import PERMANENT_CODES
@@ -13,16 +16,19 @@ from sluice.plans.catalog import query
 from sluice.plans.messaging import messages
 from sluice.plans.monitoring import EMITTED_SQL, HOUR, failure_records
 from sluice.plans.sqltext import over
-from sluice.plans.testdata import CONFIG, NOW, outbox
-from sluice.session import configure, shared_dir
-from sluice.sources.publish import in_order
-from sluice.sources.tables import RelayTables
-from sluice.streaming.relay import Relay
+from sluice.plans.testdata import CONFIG, NOW, new_tables, outbox
+from sluice.session import stored
+from sluice.sources.publish import in_order, in_requests
+from sluice.sources.tables import COMMITTED, RelayTables
+from sluice.streaming.relay import FatalAfterCommit, Relay
+from sluice.streaming.retry import SENT, deliver_in_order
 from sluice.streaming.suppress import suppress_stream
 
-# Large batches: the relay's cost is per batch, its memory per task.
+# One batch for all that is pending, and several: a batch costs some twenty small jobs, whatever it holds.
 LARGE = replace(CONFIG, batch_target=1_000_000)
-ENTRY_COLUMNS = ["queue", "order_group"]
+RELAY_TARGET = 1_000
+UNTIL_STILL = 1_000_000
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 TOPIC_COLUMNS = ["topic", "ordering_key"]
 
 
@@ -35,76 +41,167 @@ def send_topic(row) -> tuple[str, str | None, str | None, bool]:
     return "ok", None, None, False
 
 
-def send_entry(row) -> tuple[str, str | None, str | None, bool]:
-    if row.id % 19 == 0:
-        return "error", "InvalidParameterValue", "bad entry", True
-    if row.id % 23 == 0:
-        return "error", "InternalError", "try later", False
+def send_any(row) -> tuple[str, str | None, str | None, bool]:
     return "ok", None, None, False
 
 
-def send_any(row) -> tuple[str, str | None, str | None, bool]:
-    return "ok", None, None, False
+def send_late(row) -> tuple[str, str | None, str | None, bool]:
+    """A topic sender that times out on some messages."""
+    return ("deadline", None, "deadline exceeded", False) if row.id % 13 == 0 else ("ok", None, None, False)
+
+
+def healed_topic(row) -> tuple[str, str | None, str | None, bool]:
+    return ("error", "400", f"rejected {row.id}", False) if row.id % 17 == 0 else ("ok", None, None, False)
 
 
-def publishers(topic=send_topic, entry=send_entry) -> dict:
-    return {PUBSUB: in_order(topic, TOPIC_COLUMNS, PERMANENT_CODES), SQS: in_order(entry, ENTRY_COLUMNS, ())}
+def queue_sender(later: bool):
+    """Test sender of requests: some entries are refused for good, and ``later`` some fail for now."""
+    def send(queue: str, entries: pd.DataFrame) -> pd.DataFrame:
+        ids = entries["id"].to_numpy()
+        fault, wait = ids % 19 == 0, (ids % 23 == 0) & later
+        return pd.DataFrame({"id": ids, "status": np.where(fault | wait, "error", "ok"),
+                             "code": np.where(fault, "InvalidParameterValue", np.where(wait, "InternalError", None)),
+                             "message": np.where(fault, "bad entry", np.where(wait, "try later", None)), "sender_fault": fault})
 
+    return send
 
-def new_tables(spark) -> RelayTables:
-    """Tables under a fresh folder of the shared directory."""
-    return RelayTables(configure(spark), f"{shared_dir(spark)}/relay-{uuid4().hex}")
+
+def send_all(queue: str, entries: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"id": entries["id"].to_numpy(), "status": "ok", "code": None, "message": None, "sender_fault": False})
+
+
+def publishers(topic=send_topic, queue=queue_sender(True)) -> dict:
+    return {PUBSUB: in_order(topic, TOPIC_COLUMNS, PERMANENT_CODES), SQS: in_requests(queue)}
 
 
 TEST_OUTCOMES = """
 judged AS (
-  SELECT id, topic AS dest, ordering_key AS key, ordering_key <> '' AND id % 13 = 0 AS blocking,
-         CASE WHEN id % 13 = 0 THEN NULL WHEN id % 17 = 0 THEN 'poison' ELSE 'confirmed' END AS outcome,
-         CASE WHEN id % 13 <> 0 AND id % 17 = 0 THEN 'rejected ' || CAST(id AS VARCHAR) END AS reason
+  SELECT id, true AS topical, topic AS dest, ordering_key AS key, ordering_key <> '' AND id % 13 = 0 AS blocking,
+         CASE WHEN id % 13 = 0 THEN NULL WHEN id % 17 = 0 THEN 'poison' ELSE 'confirmed' END AS outcome
   FROM messages WHERE reason IS NULL
   UNION ALL
-  SELECT id, queue, CASE WHEN fifo THEN message_group_id ELSE '' END, fifo AND id % 23 = 0 AND id % 19 <> 0,
-         CASE WHEN id % 19 = 0 THEN 'poison' WHEN id % 23 = 0 THEN NULL ELSE 'confirmed' END,
-         CASE WHEN id % 19 = 0 THEN 'InvalidParameterValue: bad entry' END
+  SELECT id, false, queue, CASE WHEN fifo THEN message_group_id ELSE '' END, fifo AND id % 23 = 0 AND id % 19 <> 0,
+         CASE WHEN id % 19 = 0 THEN 'poison' WHEN id % 23 = 0 THEN NULL ELSE 'confirmed' END
   FROM entries WHERE reason IS NULL),
 stops AS (SELECT dest, key, min(id) AS stop FROM judged WHERE blocking GROUP BY dest, key),
-final AS (SELECT j.id, outcome, reason FROM judged j LEFT JOIN stops s ON s.dest = j.dest AND s.key = j.key
-          WHERE outcome IS NOT NULL AND (stop IS NULL OR id < stop)
-          UNION ALL SELECT id, 'poison', reason FROM messages WHERE reason IS NOT NULL
-          UNION ALL SELECT id, 'poison', reason FROM entries WHERE reason IS NOT NULL
-          UNION ALL SELECT id, 'poison', reason FROM triaged WHERE triage <> 'dispatch')"""
+refused AS (SELECT id, reason FROM messages WHERE reason IS NOT NULL UNION ALL SELECT id, reason FROM entries WHERE reason IS NOT NULL
+            UNION ALL SELECT id, reason FROM triaged WHERE triage <> 'dispatch'),
+first AS (SELECT t.id, r.id IS NOT NULL AS refused, topical, j.dest, j.key, stop IS NULL OR t.id <= stop AS attempted,
+                 CASE WHEN stop IS NULL OR t.id <= stop THEN outcome END AS outcome
+          FROM triaged t LEFT JOIN refused r USING (id) LEFT JOIN judged j USING (id) LEFT JOIN stops s ON s.dest = j.dest AND s.key = j.key),
+kept AS (SELECT * FROM first WHERE NOT refused AND outcome IS NULL)"""
+
+
+def relayed(spark, d, target: int) -> RelayTables:
+    """Tables of a streaming relay that outlives an outage.
+
+    Rows arrive in three parts, ids dealt out so that low ones come late. The
+    stream takes two of them while the senders are flaky, two batches each;
+    then it starts again from its checkpoint with the last part and sound
+    senders, and runs batch after batch until nothing is pending.
+    """
+    tables = new_tables(spark)
+    box, stored = outbox(spark, d), tables.path("source")
+    for part, senders, most in ((2, publishers(), 2), (1, publishers(), 2), (0, publishers(healed_topic, queue_sender(False)), UNTIL_STILL)):
+        box.filter(F.col("id") % 3 == part).write.mode("append").parquet(stored)
+        arrivals = spark.readStream.schema(box.schema).parquet(stored)
+        relay = Relay(replace(CONFIG, batch_target=target), tables, senders, clock=lambda: NOW, batches=most, compact_every=4)
+        relay.start(arrivals, tables.path("checkpoint"), {"availableNow": True}).awaitTermination()
+    return tables
+
+
+@query("stream_relay", over("messages entries", """
+SELECT id, 'poison' AS outcome, reason FROM refused
+UNION ALL SELECT id, CASE WHEN id % 17 = 0 THEN 'poison' ELSE 'confirmed' END, CASE WHEN id % 17 = 0 THEN 'rejected ' || CAST(id AS VARCHAR) END
+FROM messages WHERE reason IS NULL
+UNION ALL SELECT id, CASE WHEN id % 19 = 0 THEN 'poison' ELSE 'confirmed' END, CASE WHEN id % 19 = 0 THEN 'InvalidParameterValue: bad entry' END
+FROM entries WHERE reason IS NULL""", TEST_OUTCOMES))
+def _(spark, d):
+    """Arrivals through the streaming relay, several batches a trigger, until all is settled."""
+    return relayed(spark, d, RELAY_TARGET).settled().select("id", "outcome", "reason")
+
+
+class Crash(BaseException):
+    """Ends a relay without giving it a chance to log anything."""
+
 
+class CrashingTables(RelayTables):
+    """Tables of a relay that dies right before its commit."""
 
-@query("stream_relay", over("messages entries", "SELECT id, outcome, reason FROM final", TEST_OUTCOMES))
+    def write(self, df, name, batch_id):
+        if name == "batch_log":
+            raise Crash
+        super().write(df, name, batch_id)
+
+
+@query("commit_rule", over("messages entries", """
+SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(attempt AS BIGINT) AS attempt, state, CAST(selected AS BIGINT) AS selected, CAST(sent AS BIGINT) AS sent,
+       CAST(dlq AS BIGINT) AS dlq, CAST(kept AS BIGINT) AS kept, CAST(errors AS BIGINT) AS sender_errors, CAST(fatal AS BIGINT) AS fatal,
+       CAST(1 AS BIGINT) AS batch_errors FROM (
+  SELECT 0 AS batch_id, 0 AS attempt, 'failed' AS state, 0 AS selected, 0 AS sent, 0 AS dlq, 0 AS kept, 0 AS errors, 0 AS fatal
+  UNION ALL SELECT 0, 1, 'crashed', 0, 0, 0, 0, 0, 0
+  UNION ALL SELECT 0, 2, 'committed', count(*), count(*) FILTER (WHERE outcome = 'confirmed'), count(*) FILTER (WHERE refused OR outcome = 'poison'),
+    count(*) FILTER (WHERE NOT refused AND outcome IS NULL), count(*) FILTER (WHERE topical AND attempted AND outcome IS NULL), 0 FROM first
+  UNION ALL SELECT 1, 0, 'committed', count(*), count(*) FILTER (WHERE NOT topical), 0, count(*) FILTER (WHERE topical),
+    count(*) FILTER (WHERE topical AND key = '') + 2 * count(DISTINCT dest || '|' || key) FILTER (WHERE topical AND key <> ''),
+    CASE WHEN bool_or(topical AND key <> '') THEN 1 ELSE 0 END FROM kept
+  UNION ALL SELECT 2, 0, 'committed', count(*), count(*), 0, 0, 0, 0 FROM kept WHERE topical) a""", TEST_OUTCOMES))
 def _(spark, d):
-    """Arrivals through the streaming relay until nothing more can be settled."""
-    tables = new_tables(spark)
-    relay = Relay(LARGE, tables, publishers(), clock=lambda: NOW)
-    box = outbox(spark, d)
-    stored = tables.path("source")
-    box.write.mode("errorifexists").parquet(stored)
-    arrivals = spark.readStream.schema(box.schema).parquet(stored)
-    stream = relay.start(arrivals, tables.path("checkpoint"), {"availableNow": True})
-    stream.awaitTermination()
-    relay.drain(relay.arrived(arrivals))
-    return tables.settled().select("id", "outcome", "reason")
-
-
-@query("stream_retry_order", over("messages entries", """
-SELECT topic, ordering_key, count(*) AS retried, min(id) AS first_id, max(id) AS last_id
-FROM (SELECT m.*, min(CASE WHEN id % 13 = 0 THEN id END) OVER (PARTITION BY topic, ordering_key) AS stop FROM messages m
-      WHERE reason IS NULL AND ordering_key <> '') m
-WHERE id >= stop GROUP BY topic, ordering_key"""))
+    """Attempts at batches: one that lacks a sender, one cut short by a crash, one with sender errors, a fatal one, one that ends it."""
+    tables, box = new_tables(spark), outbox(spark, d)
+    flaky = Relay(LARGE, tables, publishers(), clock=lambda: NOW)
+    runs = [(replace(flaky, publishers={PUBSUB: publishers()[PUBSUB]}), ValueError),
+            (replace(flaky, tables=CrashingTables(tables.spark, tables.root)), Crash), (flaky, ()),
+            (replace(flaky, publishers=publishers(send_late, send_all)), FatalAfterCommit), (replace(flaky, publishers=publishers(send_any, send_all)), ())]
+    for relay, expected in runs:
+        with suppress(expected):
+            relay.run_batch(box, tables.next_batch_id())
+    counts = ["selected", "sent", "dlq", "kept", "sender_errors", "fatal"]
+    commits = tables.batch_commits().select("batch_id", F.lit(COMMITTED).alias("state"), *counts)
+    errors = tables.batch_log().agg(F.sum("failed")).scalar()
+    return tables.states().join(commits, ["batch_id", "state"], "left").select(
+        "batch_id", F.col("attempt").cast("bigint").alias("attempt"), "state", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], errors.alias("batch_errors"))
+
+
+def send_second_time(key: tuple, message: int, body: str, tries: int) -> tuple[str | None, str | None]:
+    """Test sender: some messages are unavailable at first, some are refused for good."""
+    if message % 13 == 0 and not tries:
+        return None, None
+    return ("poison", f"rejected {message}") if message % 17 == 0 else ("confirmed", None)
+
+
+@query("stream_retry_order", over("messages", """
+SELECT topic, ordering_key, id, row_number() OVER (PARTITION BY topic, ordering_key ORDER BY late, id) AS place, CASE WHEN id % 13 = 0 THEN 2 ELSE 1 END AS tries,
+       CASE WHEN id % 17 = 0 THEN 'poison' ELSE 'confirmed' END AS outcome, CASE WHEN id % 17 = 0 THEN 'rejected ' || CAST(id AS VARCHAR) END AS reason
+FROM (SELECT *, id % 3 = 0 AS late FROM messages WHERE reason IS NULL AND ordering_key <> '') m"""))
 def _(spark, d):
-    """What the second batch sends per key: the row that failed first, then all that waited behind it."""
+    """Keyed messages through the retry queues over several micro-batches: what waits goes out before what arrives later."""
     tables = new_tables(spark)
-    box = outbox(spark, d)
-    Relay(LARGE, tables, publishers(), clock=lambda: NOW).run_batch(box, 0)
-    Relay(LARGE, tables, publishers(send_any, send_any), clock=lambda: NOW).run_batch(box, 1)
-    second = tables.settled().filter("batch_id = 1 AND outcome = 'confirmed'").select("id")
-    resent = messages(spark, d).filter("ordering_key <> ''").join(second, "id", "left_semi")
-    return resent.groupBy("topic", "ordering_key").agg(
-        F.count(F.lit(1)).alias("retried"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    source, out = tables.path("source"), tables.path("sent")
+    rows = messages(spark, d).filter("reason IS NULL AND ordering_key <> ''").selectExpr(
+        f"'{PUBSUB}' AS target", "topic AS destination", "ordering_key AS order_key", "id", "CAST(data AS STRING) AS body")
+    rows = stored(rows)
+    total = rows.count()
+
+    def step(arriving: DataFrame) -> None:
+        arriving.write.mode("append").parquet(source)
+        # Timers alone would start batch after batch, so a run over what is there would not end.
+        spark.conf.set(NO_DATA_BATCHES, "false")
+        stream = deliver_in_order(spark.readStream.schema(rows.schema).parquet(source), send_second_time, timedelta(milliseconds=1))
+        (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", tables.path("checkpoint"))
+         .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+
+    before = spark.conf.get(NO_DATA_BATCHES)
+    step(rows.filter("id % 3 <> 0"))
+    step(rows.filter("id % 3 = 0"))
+    # Nothing arrives any more; a row without an id keeps time for the keys that still wait.
+    heartbeat = rows.limit(0).unionByName(spark.range(1).selectExpr("'' AS target", "'' AS destination", "'' AS order_key", "CAST(NULL AS BIGINT) AS id", "'' AS body"))
+    sent = spark.read.schema(SENT).parquet(out)
+    while sent.count() < total:
+        step(heartbeat)
+        sent = spark.read.schema(SENT).parquet(out)
+    spark.conf.set(NO_DATA_BATCHES, before)
+    return sent.select(F.col("destination").alias("topic"), F.col("order_key").alias("ordering_key"), "id", "place", "tries", "outcome", "reason")
 
 
 @query("stream_suppress_failures", EMITTED_SQL)

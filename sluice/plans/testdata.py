@@ -6,11 +6,13 @@ Everything is derived row by row from ``events``, so it grows with the table.
 from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sluice.config import PUBSUB, SQS, Backend, RelayConfig
-from sluice.session import configure
+from sluice.session import configure, shared_dir
+from sluice.sources.tables import RelayTables
 
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 CONFIG = RelayConfig(
@@ -19,6 +21,11 @@ CONFIG = RelayConfig(
     source_table="outbox")
 
 
+def new_tables(spark: SparkSession) -> RelayTables:
+    """Tables under a fresh folder of the shared directory."""
+    return RelayTables(configure(spark), f"{shared_dir(spark)}/relay-{uuid4().hex}")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/events.parquet")
 
@@ -60,11 +67,30 @@ def attempts(messages: DataFrame) -> DataFrame:
 
 
 def responses(entries: DataFrame) -> DataFrame:
-    """Per-entry SQS responses; some entries are not mentioned at all."""
-    return entries.filter("reason IS NULL AND id % 29 <> 0").selectExpr(
-        "id", "id AS seq", "CASE WHEN id % 19 = 0 OR id % 23 = 0 THEN 'error' ELSE 'ok' END AS status",
-        "CASE WHEN id % 19 = 0 THEN 'InvalidParameterValue' WHEN id % 23 = 0 THEN 'InternalError' END AS code",
-        "CASE WHEN id % 19 = 0 THEN 'bad entry' WHEN id % 23 = 0 THEN 'try later' END AS message", "id % 19 = 0 AS sender_fault")
+    """SQS responses to ``entries`` with their chunks.
+
+    Some chunks fail for now, some are refused for good and their entries sent
+    again alone; some entries of an answered request are not mentioned.
+    """
+    together = "OVER (PARTITION BY queue, chunk_no, CASE WHEN fifo THEN id END)"
+    requests = entries.filter("reason IS NULL").selectExpr(
+        "id", f"NOT fifo AND max(id % 59 = 0) {together} AS failed", f"NOT fifo AND max(id % 47 = 0) {together} AS refused",
+        f"count(*) {together} AS members")
+
+    def said(attempt: int, status: str, code: str | None = None, message: str | None = None, fault: bool = False) -> str:
+        given = [f"'{v}'" if v else "CAST(NULL AS STRING)" for v in (status, code, message)]
+        return f"struct(id * 2 + {attempt} AS seq, {attempt} AS attempt, {given[0]} AS status, {given[1]} AS code, {given[2]} AS message, {str(fault).lower()} AS sender_fault)"
+
+    later, never = ("ServiceUnavailable", "try later"), ("InvalidMessageContents", "invalid characters")
+
+    def entry(attempt: int) -> str:
+        return (f"WHEN id % 29 = 0 THEN NULL WHEN id % 19 = 0 THEN {said(attempt, 'error', 'InvalidParameterValue', 'bad entry', True)} "
+                f"WHEN id % 23 = 0 THEN {said(attempt, 'error', 'InternalError', 'try later')} ELSE {said(attempt, 'ok')} END")
+
+    first = f"CASE WHEN failed THEN {said(1, 'request_error', *later)} WHEN refused THEN {said(1, 'request_error', *never)} {entry(1)}"
+    second = (f"CASE WHEN failed OR NOT refused OR members = 1 THEN NULL WHEN id % 47 = 0 THEN {said(2, 'request_error', *never)} "
+              f"WHEN id % 37 = 0 THEN {said(2, 'request_error', *later)} {entry(2)}")
+    return requests.selectExpr("id", f"inline(filter(array({first}, {second}), s -> s IS NOT NULL))")
 
 
 def request_errors(chunks: DataFrame) -> DataFrame:

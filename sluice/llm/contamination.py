@@ -7,16 +7,19 @@ one symbol that occurs in no pattern. A document is scanned once, and the end
 positions that the automaton reports are word numbers, which map back to byte
 offsets of the original text.
 
-The automaton holds the benchmark, whose size is measured first; beyond
-``max_words`` it is split by item into parts, each scanned in turn, and the
-hits of a document are merged. Windows belong to one item, so a benchmark of
-more than ``MAX_PARTS`` parts can be given in several calls. Documents are not
+The automaton holds the benchmark, whose size is measured first. A large one
+is read in parts of about ``max_bytes``, as many as it takes; each part is one
+pass over the documents, and between passes documents and the hits so far are
+written, so neither the driver nor a worker holds more than one part. Inside a
+part an automaton takes stretches of at most ``max_words`` words, which
+overlap by a window; a part with more words has several. Documents are not
 shuffled.
 
 Null or empty text: no words, no hits. Items without words have no windows.
 Null item ids: their windows count as hits, but they are listed nowhere.
 Repeated items count once. Null document ids and repeated rows are kept. An
-empty table gives no rows. Other columns are unused.
+empty table gives no rows. Other columns are unused; one named ``_hits`` is
+replaced.
 """
 
 from __future__ import annotations
@@ -26,14 +29,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm.common import words
+from sluice.llm.common import bounded_parts, words, written
 from sluice.llm.registry import query
 
 WINDOW = 10
-MAX_WORDS = 2_000_000
-MAX_PARTS = 16
+#: Bytes of a part. Words of an automaton: fewer than there are symbols.
+MAX_BYTES = 8 << 20
+MAX_WORDS = 1_000_000
+MAX_ITEMS = 100_000
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 FIRST_SYMBOL = 0x100
 #: Symbols are code points, but for the surrogates, which strings cannot hold.
@@ -48,15 +53,15 @@ def _symbol(i: int) -> str:
 
 
 class WindowAutomaton:
-    """All windows of some items as one automaton over word symbols."""
+    """All windows of some stretches of items as one automaton over word symbols."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], window: int) -> None:
+    def __init__(self, stretches: list[tuple[int | None, list[bytes]]], window: int) -> None:
         import ahocorasick
 
         self.symbols: dict[bytes, str] = {}
         patterns: dict[str, set] = {}
-        for item_id, text in items:
-            line = "".join(self.symbols.setdefault(w, _symbol(len(self.symbols))) for w in words(text))
+        for item_id, found in stretches:
+            line = "".join(self.symbols.setdefault(w, _symbol(len(self.symbols))) for w in found)
             for at in range(max(1, len(line) - window + 1) if line else 0):
                 patterns.setdefault(line[at:at + window], set()).add(item_id)
         self.automaton = ahocorasick.Automaton()
@@ -67,7 +72,7 @@ class WindowAutomaton:
         self.empty = not patterns
 
     def scan(self, found: list[bytes]) -> tuple[list[list[int]], set]:
-        """Merged word spans inside windows, end excluded, and the items with windows there."""
+        """Word spans of windows, end excluded, and the items with windows there."""
         if self.empty or not found:
             return [], set()
         line = "".join([self.symbols.get(w, NO_SYMBOL) for w in found])
@@ -78,6 +83,22 @@ class WindowAutomaton:
         return merge_spans(spans), items
 
 
+def automata(items: list[tuple[int | None, bytes, int]], window: int, max_words: int) -> list[WindowAutomaton]:
+    """Automata that together hold all windows of the items, each over at most ``max_words`` words."""
+    groups: list[list[tuple[int | None, list[bytes]]]] = [[]]
+    size, step = 0, max(window, max_words)
+    for item_id, text, _ in items:
+        found = words(text)
+        for at in range(0, max(1, len(found) - window + 1), step - window + 1):
+            stretch = found[at:at + step]
+            if size + len(stretch) > max_words and groups[-1]:
+                groups.append([])
+                size = 0
+            groups[-1].append((item_id, stretch))
+            size += len(stretch)
+    return [WindowAutomaton(g, window) for g in groups]
+
+
 def merge_spans(spans: list[list[int]]) -> list[list[int]]:
     """Spans as few disjoint ones, sorted; spans that touch are joined."""
     merged: list[list[int]] = []
@@ -97,54 +118,37 @@ def byte_offsets(text: bytes, spans: list[list[int]]) -> list[list[int]]:
     return [[places[a][0], places[b - 1][1]] for a, b in spans]
 
 
-def _scanner(items: list[tuple[int | None, bytes]], window: int):
+def _scanner(items: list[tuple[int | None, bytes, int]], window: int, max_words: int):
+    """Hits of a text in the part, merged with those of earlier parts where there are any."""
     built: list[WindowAutomaton] = []
 
-    @F.pandas_udf(HITS)
-    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if not built:
-            built.append(WindowAutomaton(items, window))
-        for texts in batches:
-            rows = []
-            for text in texts:
-                found = words(text)
-                spans, ids = built[0].scan(found)
-                rows.append((len(found), spans, sorted(i for i in ids if i is not None), byte_offsets(text, spans)))
+    def scanned(text: bytes, spans: list, ids: set) -> tuple:
+        found = words(text)
+        for automaton in built:
+            more, held = automaton.scan(found)
+            spans, ids = spans + more, ids | held
+        spans = merge_spans(spans)
+        return len(found), spans, sorted(i for i in ids if i is not None), byte_offsets(text, spans)
+
+    def hits(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        built.extend(() if built else automata(items, window, max_words))
+        for texts, spans, ids in batches:
+            rows = [scanned(t, [list(map(int, x)) for x in (s if s is not None else ())], set(map(int, i if i is not None else ())))
+                    for t, s, i in zip(texts, spans, ids)]
             yield pd.DataFrame(rows, columns=["n_words", "spans", "items", "offsets"])
 
-    return hits
-
-
-def _join_parts(n_words: pd.Series, spans: pd.Series, items: pd.Series, offsets: pd.Series) -> pd.DataFrame:
-    flat = [[list(map(int, x)) for part in parts for x in part] for parts in spans]
-    wide = [[list(map(int, x)) for part in parts for x in part] for parts in offsets]
-    return pd.DataFrame({"n_words": n_words, "spans": [merge_spans(s) for s in flat],
-                         "items": [sorted({int(i) for part in parts for i in part}) for parts in items],
-                         "offsets": [merge_spans(s) for s in wide]})
-
-
-def benchmark_parts(benchmark: DataFrame, item_col: str, text_col: str, max_words: int) -> Iterator[list[tuple[int | None, bytes]]]:
-    """The benchmark's items in lists of a bounded size; none are left out."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // (8 * max_words)))
-    if parts > MAX_PARTS:
-        raise ValueError("join such a benchmark in several calls, each with some of its items")
-    for part in range(parts):
-        yield [(r["item"], bytes(r["text"] or b"")) for r in items.filter(f"pmod(xxhash64(item, text), {parts}) = {part}").collect()]
+    return F.pandas_udf(hits, HITS)
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-              window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+              window: int = WINDOW, max_words: int = MAX_WORDS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """All rows and columns, with the struct ``_hits``: words, hit spans, items and byte offsets."""
-    text: Column = F.col(text_col).cast("binary")
-    parts = list(benchmark_parts(benchmark, item_col, item_text_col, max_words))
-    if len(parts) == 1:
-        return docs.withColumn("_hits", _scanner(parts[0], window)(text))
-    each = F.array(*[_scanner(p, window)(text) for p in parts])
-    joined = docs.withColumn("_each", each)
-    return joined.withColumn("_hits", F.pandas_udf(_join_parts, HITS)(F.expr("_each[0].n_words"), F.expr("_each.spans"), F.expr("_each.items"),
-                                                  F.expr("_each.offsets"))).drop("_each")
+    text, rows = F.col(text_col).cast("binary"), docs
+    spans, ids = F.lit(None).cast("array<array<int>>"), F.lit(None).cast("array<long>")
+    for n, part in enumerate(bounded_parts(benchmark, item_col, item_text_col, max_bytes, MAX_ITEMS)):
+        rows = (written(rows, "hits") if n else rows).withColumn("_hits", _scanner(part, window, max_words)(text, spans, ids))
+        spans, ids = F.col("_hits.spans"), F.col("_hits.items")
+    return rows
 
 
 _SQL = r"""WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -13,7 +13,8 @@ max_share`` per host.
 
 Null or empty text: no words, fails the base rule. Null host: a host of its
 own. Null ids and repeated rows are kept. An empty table gives no rows. Other
-columns are unused.
+columns are kept as they are, whatever their names; ``_left`` and ``_quality``
+are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sluice.llm.common import blank_words
+from sluice.llm.common import blank_words, written
 from sluice.llm.registry import query
 
 MAX_SHARE = 0.05
@@ -89,15 +90,19 @@ def judged(docs: DataFrame, text_col: str = "text", host_col: str = "source", ma
            min_documents: int = MIN_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
     """All rows and columns, with ``_left`` (text without frequent lines, null where whole) and the struct ``_quality``."""
     host = F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit(""))
-    frequent = frequent_lines(docs, text_col, host, max_share, min_documents)
-    rows = docs.withColumn("_host", host).join(frequent, "_host", "left").drop("_host")
-    kept_lines = f"filter(split(CAST(`{text_col}` AS STRING), '\\n'), l -> NOT array_contains(_lines, xxhash64({_LINE.format(line='l')})))"
-    left = f"CASE WHEN _lines IS NOT NULL THEN array_join({kept_lines}, '\\n') END"
-    rows = rows.withColumn("_left", F.expr(left)).drop("_lines").withColumn(
-        "_stats", F.pandas_udf(_stats, STATS)(F.col(text_col).cast("binary"), F.col("_left").cast("binary")))
-    failed = f"_stats.n_words < {MIN_WORDS} OR 100 * _stats.n_repeat_words > {MAX_REPEAT_PERCENT} * _stats.n_words"
-    depleted = f"_stats.left_words < {min_left} * _stats.n_words"
-    return rows.withColumn("_quality", F.expr(f"struct(_stats.*, {failed} AS base_failed, NOT ({failed}) AND NOT ({depleted}) AS kept)")).drop("_stats")
+    # Stored, so that its size is known before the texts meet it: a small one is sent to them.
+    frequent = written(frequent_lines(docs, text_col, host, max_share, min_documents), "frequent-lines")
+    taken = {c.lower() for c in docs.columns} | {"_left", "_quality"}
+    of_host, lines, stats = (next(n for n in (f"{stem}{i or ''}" for i in range(len(taken) + 1)) if n not in taken) for stem in ("_host", "_lines", "_stats"))
+    frequent = frequent.selectExpr(f"_host AS {of_host}", f"_lines AS {lines}")
+    rows = docs.drop("_left", "_quality").withColumn(of_host, host).join(frequent, of_host, "left").drop(of_host)
+    kept_lines = f"filter(split(CAST(`{text_col}` AS STRING), '\\n'), l -> NOT array_contains({lines}, xxhash64({_LINE.format(line='l')})))"
+    left = f"CASE WHEN {lines} IS NOT NULL THEN array_join({kept_lines}, '\\n') END"
+    rows = rows.withColumn("_left", F.expr(left)).drop(lines).withColumn(
+        stats, F.pandas_udf(_stats, STATS)(F.col(text_col).cast("binary"), F.col("_left").cast("binary")))
+    failed = f"{stats}.n_words < {MIN_WORDS} OR 100 * {stats}.n_repeat_words > {MAX_REPEAT_PERCENT} * {stats}.n_words"
+    depleted = f"{stats}.left_words < {min_left} * {stats}.n_words"
+    return rows.withColumn("_quality", F.expr(f"struct({stats}.*, {failed} AS base_failed, NOT ({failed}) AND NOT ({depleted}) AS kept)")).drop(stats)
 
 
 _SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('h' || source, '') AS host, coalesce(text, '') AS text FROM documents),

@@ -66,13 +66,25 @@ def test_license_index_finds_all_containments(spark, odd_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("max_words", [contamination.MAX_WORDS, 20])
-def test_contamination(spark, odd_docs, no_docs, max_words):
+def test_names_of_other_columns_may_clash(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"Menu Home\n{body} {i}", "a", i, "l", [1], "s", "left", "q", "x", "y") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, _host int, _line string, _lines array<int>, _stats string, _left string, _quality string, _hits string, _each string")
+    out = quality.judged(docs).filter("doc_id = 3").first()
+    assert out["_left"] == f"{body} 3" and out["_quality"]["kept"]
+    assert (out["_host"], out["_line"], out["_lines"], out["_stats"], out["_hits"]) == (3, "l", [1], "s", "x")
+    bench = spark.createDataFrame([(1, " ".join(body.split()[5:20]))], "item_id long, text string")
+    hit = contamination.with_hits(docs, bench).filter("doc_id = 3").first()
+    assert hit["_hits"]["items"] == [1] and hit["_each"] == "y" and hit["_host"] == 3
+
+
+@pytest.mark.parametrize("max_words, max_bytes", [(contamination.MAX_WORDS, contamination.MAX_BYTES), (20, contamination.MAX_BYTES), (20, 50)])
+def test_contamination(spark, odd_docs, no_docs, max_words, max_bytes):
     texts = [r["text"] for r in odd_docs.orderBy("doc_id").collect()]
     long = next(t for t in texts if t and len(t.split()) == 9000).split()
     items = [(1, " ".join(long[50:70]).upper()), (2, "two WORDS"), (3, None), (4, "!!"), (None, " ".join(long[8000:8011])), (1, "license under the general"), (5, "absent")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = contamination.with_hits(odd_docs, bench, max_words=max_words).collect()
+    rows = contamination.with_hits(odd_docs, bench, max_words=max_words, max_bytes=max_bytes).collect()
     for r in rows:
         found, hit, ids = words(r["text"]), set(), set()
         for item, text in items:

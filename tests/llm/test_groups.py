@@ -163,3 +163,12 @@ def test_stages_take_odd_and_empty_tables(spark, short_training, odd_docs, no_do
     for name, stage in corpus_pipeline.STAGES:
         for docs in (odd_docs, no_docs):
             assert stage(spark, docs, SF_DIR).count() >= 0, name
+
+
+def test_near_duplicate_stage_loses_no_other_text(spark):
+    """One of each component stays, the one with the smallest id; rows that share an id but no text are told apart."""
+    one, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (1, other), (2, one + " more"), (None, one), (None, third), (3, None), (4, ""), (5, third), (5, third), (6, "a b"), (7, "a b")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF_DIR).collect()]
+    assert sorted(left, key=str) == sorted([(1, one), (1, other), (5, third), (3, None), (4, ""), (6, "a b")], key=str)

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sluice.operators.ranking import previous_values, row_numbers
+from sluice.operators.ranking import previous_values, running_sums
+from sluice.session import stored
 
 
 def audit_missing(expected: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -37,17 +38,20 @@ def audit_order(delivered: DataFrame) -> DataFrame:
 def audit_latency(latencies: DataFrame, percentiles: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """Latency at index int(p * n) - 1 of the sorted list, and the maximum.
 
-    ``latencies`` holds (id, latency_us).
+    ``latencies`` holds (id, latency_us). No row is numbered: distinct values
+    are counted, running counts are taken inside ranges of values and across
+    the ranges, and a rank falls on the value whose running count reaches it.
     """
-    ranked = row_numbers(latencies, [], "struct(latency_us, id)", "_rn")
-    total = latencies.agg(F.count(F.lit(1))).scalar()
+    histogram = stored(latencies.groupBy("latency_us").agg(F.count(F.lit(1)).alias("_n")))
+    running = running_sums(histogram, [], "latency_us", {"_upto": "_n"})
+    placed = running.withColumn("_total", histogram.agg(F.sum("_n")).scalar())
 
     def at(p: float) -> Column:
-        rank = F.least(F.greatest(F.floor(F.lit(p) * F.col("_n")), F.lit(1)), F.col("_n"))
-        return F.max(F.when(F.col("_rn") == rank, F.col("latency_us")))
+        rank = F.least(F.greatest(F.floor(F.lit(p) * F.col("_total")), F.lit(1)), F.col("_total"))
+        return F.min(F.when(F.col("_upto") >= rank, F.col("latency_us")))
 
-    return ranked.withColumn("_n", total).agg(
-        F.count(F.lit(1)).alias("events"),
+    return placed.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("events"),
         *[at(p).alias(f"p{round(p * 100)}_us") for p in percentiles],
         F.max("latency_us").alias("max_us"))
 

@@ -99,12 +99,15 @@ def previous_values(df: DataFrame, keys: list[str], order: str, lags: dict[str,
 
 
 def oldest(df: DataFrame, order: str, limit: int, slices: int | None = None) -> DataFrame:
-    """The ``limit`` smallest rows by ``order``, merged in two steps.
+    """The ``limit`` smallest rows by ``order``, merged in three steps.
 
-    Tasks first meet in ``slices`` groups that each keep ``limit`` rows, so the
-    last merge reads slices * limit rows however many tasks the scan has.
+    Tasks first meet in ``slices`` groups that each keep ``limit`` rows, those
+    in about the square root of as many, so the last merge reads sqrt(slices) *
+    limit rows however many tasks the scan has.
     """
     slices = slices or slice_count(df.sparkSession)
-    grouped = df.withColumn(SLICE, F.spark_partition_id() % slices)
-    kept = grouped.selectExpr("*", f"row_number() OVER (PARTITION BY {SLICE} ORDER BY {order}) AS _rn").filter(f"_rn <= {limit}")
-    return kept.drop(SLICE, "_rn").orderBy(order).limit(limit)
+    kept = df.withColumn(SLICE, F.spark_partition_id() % slices)
+    for groups in (slices, isqrt(slices)):
+        kept = kept.withColumn(SLICE, F.col(SLICE) % groups).selectExpr(
+            "*", f"row_number() OVER (PARTITION BY {SLICE} ORDER BY {order}) AS _rn").filter(f"_rn <= {limit}").drop("_rn")
+    return kept.drop(SLICE).orderBy(order).limit(limit)

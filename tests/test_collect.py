@@ -1,5 +1,6 @@
 """Collection, backlog and generated-load cases with known answers."""
 
+import random
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from sluice.config import Backend, RelayConfig
 from sluice.operators import backlog, collect, routing, triage
+from sluice.operators.audit import audit_latency
+from sluice.session import stored
 from sluice.sources.producer import plain_workload, power_law_count, uniform_count
 
 BOTH = RelayConfig(backends=(Backend("pubsub", "topic-default"), Backend("sqs")), options_col="", timestamp_col="", batch_target=40)
@@ -141,3 +144,34 @@ def test_collection_plan(spark, tmp_path):
     ids = collect.fair_share_ids(df, BOTH)
     ids.write.parquet(str(tmp_path / "ids"))
     assert "LessThanOrEqual(id,ScalarSubquery" in plan_of(collect.fair_share_rows(df, BOTH, spark.read.parquet(str(tmp_path / "ids"))))
+
+
+def test_payload_ranges_leave_out_the_gap_before_a_young_row(spark, tmp_path):
+    """A young row on a quiet route does not make the payload scan read the rows between."""
+    rows = spark.range(0, 20_000, 1, 1).selectExpr("id", "repeat('p', 50) AS payload", "'sqs' AS target", "IF(id = 19999, 'quiet', 'busy') AS destination")
+    path = str(tmp_path / "box")
+    rows.write.option("parquet.block.size", 4096).option("parquet.page.size", 512).parquet(path)
+    box, cfg = spark.read.parquet(path), RelayConfig(backends=(Backend("sqs"),), batch_target=100)
+    ids = stored(collect.fair_share_ids(box, cfg))
+    assert collect.id_ranges(ids, "id", most=2) == [(0, 49), (19999, 19999)]
+    batch = collect.fair_share_rows(box, cfg, ids)
+    assert sorted(r["id"] for r in batch.select("id").collect()) == [*range(50), 19999]
+    plan = plan_of(batch)
+    assert "LessThanOrEqual(id,49)" in plan and "EqualTo(id,19999)" in plan
+
+
+def test_ids_without_gaps_and_empty_batches(spark):
+    texts = spark.createDataFrame([("a",), ("m",), ("z",)], "id string")
+    assert collect.id_ranges(texts, "id") == [("a", "z")] and collect.id_ranges(texts.limit(0), "id") == []
+    assert collect.id_ranges(spark.range(5), "id") == [(0, 4)]
+    assert collect.id_ranges(spark.createDataFrame([(1,), (5,), (6,), (9,)], "id long"), "id") == [(1, 1), (5, 6), (9, 9)]
+
+
+def test_percentiles_from_counts(spark):
+    rng = random.Random(1)
+    for n in (1, 2, 9, 100, 333):
+        values = [rng.choice([5, 5, 7, 9, rng.randrange(1000)]) for _ in range(n)]
+        got = audit_latency(spark.createDataFrame(list(enumerate(values)), "id long, latency_us long")).first()
+        ordered = sorted(values)
+        wanted = [ordered[min(max(int(p * n) - 1, 0), n - 1)] for p in (0.5, 0.9, 0.99)]
+        assert [got["events"], got["p50_us"], got["p90_us"], got["p99_us"], got["max_us"]] == [n, *wanted, ordered[-1]]

@@ -230,12 +230,11 @@ keys(route, key, remaining) AS (
 sized AS (SELECT route, key, CASE WHEN key = 9 THEN remaining ELSE (remaining + 1) // 2 END AS n FROM keys),
 loose AS (SELECT route, unnest(generate_series(1, events - events // 2)) AS n FROM routes WHERE events - events // 2 > 0),
 keyed AS (SELECT route, key, unnest(generate_series(1, n)) AS n FROM sized WHERE n > 0)
-SELECT 'event-' || lpad(CAST(route AS VARCHAR), 3, '0') || '-u-' || lpad(CAST(n AS VARCHAR), 7, '0') AS id, 'payload' AS payload,
+SELECT concat_ws('/', 'load', route, 'free', n) AS id, 'load of topic-' || CAST(route AS VARCHAR) AS payload,
        'topic-' || CAST(route AS VARCHAR) AS destination, NULL AS options FROM loose
 UNION ALL
-SELECT 'event-' || lpad(CAST(route AS VARCHAR), 3, '0') || '-o-' || lpad(CAST(key AS VARCHAR), 3, '0') || '-' || lpad(CAST(n AS VARCHAR), 7, '0'),
-       'payload', 'topic-' || CAST(route AS VARCHAR),
-       '{"pubsub":{"orderingKey":"key-' || lpad(CAST(key AS VARCHAR), 3, '0') || '"},"sqs":{"messageGroupId":"key-' || lpad(CAST(key AS VARCHAR), 3, '0') || '"}}'
+SELECT concat_ws('/', 'load', route, key, n), 'load of topic-' || CAST(route AS VARCHAR), 'topic-' || CAST(route AS VARCHAR),
+       '{"pubsub":{"orderingKey":"lane ' || CAST(key AS VARCHAR) || '"},"sqs":{"messageGroupId":"lane ' || CAST(key AS VARCHAR) || '"}}'
 FROM keyed""")
 def _(spark, d):
     total = events(spark, d).agg(F.count(F.lit(1)).alias("total"))

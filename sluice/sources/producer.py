@@ -59,22 +59,20 @@ def ordered_workload(routes: DataFrame, keys: int) -> DataFrame:
     ordering keys, with power-law sizes.
     """
     ordered = F.floor(F.col("events") / 2).cast("bigint")
-    route = F.format_string("%03d", "route")
     loose = _expand(routes.select("route", "destination", (F.col("events") - ordered).alias("_count")), "_count")
     unkeyed = loose.select(
-        F.concat(F.lit("event-"), route, F.lit("-u-"), F.format_string("%07d", "n")).alias("id"),
-        F.lit("payload").alias("payload"), "destination", F.lit(None).cast("string").alias("options"))
+        F.concat_ws("/", F.lit("load"), "route", F.lit("free"), "n").alias("id"),
+        F.concat(F.lit("load of "), "destination").alias("payload"), "destination", F.lit(None).cast("string").alias("options"))
     key_plan = routes.select("route", "destination", F.explode(F.sequence(F.lit(0), F.lit(keys - 1))).alias("key"),
                              ordered.alias("_ordered"))
     sized = key_plan.select("route", "destination", "key",
                             power_law_count(F.col("_ordered"), F.col("key"), F.lit(keys)).alias("_count"))
-    key_name = F.concat(F.lit("key-"), F.format_string("%03d", "key"))
+    key_name = F.concat(F.lit("lane "), F.col("key").cast("string"))
     options = F.to_json(F.struct(F.struct(key_name.alias("orderingKey")).alias("pubsub"),
                                  F.struct(key_name.alias("messageGroupId")).alias("sqs")))
     keyed = _expand(sized, "_count").select(
-        F.concat(F.lit("event-"), route, F.lit("-o-"), F.format_string("%03d", "key"), F.lit("-"),
-                 F.format_string("%07d", "n")).alias("id"),
-        F.lit("payload").alias("payload"), "destination", options.alias("options"))
+        F.concat_ws("/", F.lit("load"), "route", "key", "n").alias("id"),
+        F.concat(F.lit("load of "), "destination").alias("payload"), "destination", options.alias("options"))
     return unkeyed.unionByName(keyed)
 
 
@@ -82,5 +80,4 @@ def plain_workload(routes: DataFrame) -> DataFrame:
     """Events (id, payload, destination) with no ordering keys."""
     rows = _expand(routes.select("route", "destination", F.col("events").alias("_count")), "_count")
     return rows.select(
-        F.concat(F.lit("event-"), F.format_string("%03d", "route"), F.lit("-"), F.format_string("%07d", "n")).alias("id"),
-        F.lit("payload").alias("payload"), "destination")
+        F.concat_ws("/", F.lit("load"), "route", "n").alias("id"), F.concat(F.lit("load of "), "destination").alias("payload"), "destination")

@@ -1,5 +1,10 @@
 """Boundary values of options parsing and provider limits."""
 
+import json
+import random
+import string
+from datetime import datetime, timedelta, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,32 +62,52 @@ def test_sqs_text(spark):
 ATTRIBUTE = "struct<data_type:string,string_value:string,binary_value:binary,error:string>"
 
 
+LETTERS = "abcxyzABCXYZ0189_-"
+
+
+def attribute_allowed(name, kind, said, data):
+    """The rule: a name of 1 to 256 letters, digits, _ - and single inner dots, no reserved start; one non-empty value that fits the type."""
+    named = (0 < len(name) <= 256 and set(name) <= set(string.ascii_letters + string.digits + "_-.") and "" not in name.split(".")
+             and not name.lower().startswith(("aws.", "amazon.")))
+    base = kind.split(".")[0]
+    if base == "Binary":
+        return named and bool(data) and said is None
+    return named and base in ("String", "Number") and data is None and bool(said) and all(c in "\t\n\r" or c >= " " for c in said)
+
+
 def test_sqs_attributes(spark):
-    """At most ten; names of letters, digits and _-., no dot at an end or twice, no reserved start; one value of its type."""
-    plain, number, bits = ("String", "t", None, None), ("Number.long", "7", None, None), ("Binary.zip", None, bytearray(b"01"), None)
-    named = lambda *names: {n: number for n in names}
-    nine = named(*"123456789")
-    good = [None, {}, {**nine, "Z_z-0": bits}, named("one.two.three"), {"p": plain, "b": bits}, named("L" * 256), named("awsome", "my.aws.x")]
-    bad = [named(*"0123456789x"), *map(named, ["", ".one", "one.", "one..two", "aws.zone", "AMAZON.id", "a/b", "ñ", "L" * 257])]
-    bad += [{"p": v} for v in [("String", None, None, None), ("Number", "", None, None), ("Integer", "7", None, None), (".zip", "7", None, None),
-                               ("Binary.zip", "01", None, None), ("Binary", None, bytearray(b""), None), ("Number", None, bytearray(b"7"), None),
-                               ("String", "\x0b", None, None), ("Strings", "t", None, None)]]
-    found = verdicts(spark, good + bad, sqs.attributes_valid("v"), f"map<string,{ATTRIBUTE}>")
-    assert found == [True] * len(good) + [False] * len(bad)
+    """Random attributes against the rule, alone and eleven at a time."""
+    rng, cases = random.Random(21), [None, {}]
+    for _ in range(400):
+        name = ".".join("".join(rng.choices(LETTERS, k=rng.choice([0, 1, 3, 3, 5, 5, 5, 90]))) for _ in range(rng.choice([1, 1, 2, 3])))
+        name = rng.choice([""] * 6 + ["aWs.", "AmaZon.", "awsm", "."]) + name + rng.choice([""] * 8 + [".", " ", "é", "/"])
+        kind = rng.choice(["String", "Number", "Binary"] * 2 + ["Strin", "binary", ""]) + rng.choice(["", "", ".custom"])
+        fitting = (None, bytearray(b"z")) if kind.startswith("Binary") else (rng.choice(["v", "7"]), None)
+        odd = rng.choice([None, "", "v", "7", "a\x02"]), rng.choice([None, None, bytearray(b""), bytearray(b"z")])
+        cases.append({name: (kind, *rng.choice([fitting, fitting, odd]), None)})
+    cases += [{f"n{i}": ("String", "v", None, None) for i in range(n)} for n in (9, 10, 11, 12)]
+    cases += [{"n" * n: ("Number", "1", None, None)} for n in (255, 256, 257)]
+    wanted = [c is None or len(c) <= 10 and all(attribute_allowed(n, *v[:3]) for n, v in c.items()) for c in cases]
+    assert 40 < sum(wanted) < len(wanted) - 40
+    assert verdicts(spark, cases, sqs.attributes_valid("v"), f"map<string,{ATTRIBUTE}>") == wanted
 
 
 def test_sqs_poison(spark):
-    base = {"body": "'body'", "group": "''", "dedup": "''", "delay": "CAST(NULL AS INT)"}
-    cases = [({}, False), ({"body": "''"}, True), ({"body": "X'FF'"}, True), ({"body": "repeat('x', 1048576)"}, False),
-             ({"body": "repeat('x', 1048577)"}, True), ({"group": "repeat('g', 128)"}, False), ({"group": "repeat('g', 129)"}, True),
-             ({"group": "'bad\\nkey'"}, True), ({"dedup": "repeat('d', 129)"}, True), ({"delay": "900"}, False), ({"delay": "901"}, True),
-             ({"delay": "-1"}, True), ({"group": "'a\\'b\"c'"}, False)]
-    exprs = []
-    for n, (change, _) in enumerate(cases):
-        c = {**base, **change}
-        poison = sqs.is_poison(f"CAST({c['body']} AS BINARY)", f"CAST(NULL AS MAP<STRING, {ATTRIBUTE}>)", c["group"], c["dedup"], c["delay"])
-        exprs.append(f"{poison} AS c{n}")
-    assert list(spark.range(1).selectExpr(*exprs).first()) == [expected for _, expected in cases]
+    """Random entries against the rule: a body of 1 byte to 1 MiB of allowed text, ids of up to 128 printable characters, a delay of 0 to 900."""
+    rng, printable = random.Random(22), [chr(c) for c in range(33, 127)]
+    shown = "".join(printable)
+
+    def an_id():
+        return "".join(rng.choices(printable, k=rng.choice([0, 0, 1, 20, 127, 128, 129]))) + rng.choice(["", "", "", "", " ", "\n", "ü"])
+
+    rows = [(rng.choice([0, 1, 500, 1_048_575, 1_048_576, 1_048_577]), rng.choice(["78", "78", "78", "78", "C3", "0B"]), an_id(), an_id(),
+             rng.choice([None, None, 0, rng.randint(1, 899), 900, 901, -rng.randint(1, 9)])) for _ in range(150)]
+    wanted = [n == 0 or n > 1 << 20 or fill != "78" or any(len(i) > 128 or set(i) - set(shown) for i in (group, dedup)) or not (d is None or 0 <= d <= 900)
+              for n, fill, group, dedup, d in rows]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, n int, fill string, g string, u string, d int").repartition(8)
+    poison = sqs.is_poison("b", f"CAST(NULL AS MAP<STRING, {ATTRIBUTE}>)", "g", "u", "d")
+    found = df.selectExpr("k", "unhex(repeat(fill, n)) AS b", "g", "u", "d").selectExpr("k", f"{poison} AS p").collect()
+    assert [r["p"] for r in sorted(found)] == wanted and 10 < sum(wanted) < 140
 
 
 def test_base64(spark):
@@ -100,14 +125,38 @@ def sections(spark, raw, target="pubsub"):
 
 
 def test_option_documents(spark):
-    fine = ['{"pubsub":{"orderingKey":"key-a","attributes":{"trace":"abc"}},"sqs":{"messageGroupId":"group-a"}}', None, "", "null", ' {"sqs":{}} ',
-            '{"pubsub":null}', '{"pubsub":{"unknown":42}}', '{"pubsub":{"a":1},"pubsub":{"orderingKey":"last"}}']
-    broken = ["[]", '{"pubsub":[]', '{"pubsub":[]}', "{} {}", '{"a":1} x', '{}],[{}', '1,"v":2', "NaN", '"text"', "12", '{"a":01}']
-    rows = sections(spark, fine + broken).selectExpr("err", f"{O.string_value('s', 'orderingKey')} AS k").collect()
-    assert [r["err"] is None for r in rows] == [True] * len(fine) + [False] * len(broken)
-    assert [r["k"] for r in rows[:8]] == ["key-a", "", "", "", "", "", "", "last"]
-    assert rows[8]["err"].endswith("options column must be an object")
-    assert rows[10]["err"] == "malformed event options: pubsub section must be an object"
+    """Random documents, some cut or run together, against a strict reader: an object or nothing, and so its section."""
+    rng = random.Random(23)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        if kind < 5:
+            return [None, rng.randint(-9, 99), "".join(rng.choices('ab" {}[],:é\\', k=3)), True, 1.5][kind]
+        return [value(depth - 1) for _ in range(2)] if kind == 5 else {rng.choice(["pubsub", "orderingKey", "x"]): value(depth - 1) for _ in range(2)}
+
+    raws = [None, "", "  null "]
+    for _ in range(300):
+        document = {k: value(2) for k in rng.sample(["pubsub", "sqs", "z"], 2)}
+        if rng.random() < 0.5:
+            document["pubsub"] = {"orderingKey": rng.choice(["k", "", None, 7, ["k"]]), "more": value(1)}
+        raw = json.dumps(rng.choice([document, document, document, value(2)]), ensure_ascii=rng.random() < 0.5)
+        raws.append(rng.choice([raw, raw, raw, " " + raw + "\n", raw[:rng.randrange(len(raw))], raw + raw, raw + " x", raw.replace(":", ":0", 1)]))
+
+    def read(raw):
+        try:
+            root = json.loads(raw) if raw else None
+        except ValueError:
+            return False, ""
+        section = root.get("pubsub") if isinstance(root, dict) else None
+        sound = (root is None or isinstance(root, dict)) and (section is None or isinstance(section, dict))
+        key = section.get("orderingKey") if sound and section else None
+        return sound, key if isinstance(key, str) else ""
+
+    rows = sections(spark, raws).selectExpr("err", f"CASE WHEN err IS NULL THEN {O.string_value('s', 'orderingKey')} ELSE '' END AS k").collect()
+    assert [(r["err"] is None, r["k"]) for r in rows] == [read(r) for r in raws]
+    reasons = {r["err"] for r in rows if r["err"]}
+    assert reasons == {f"malformed event options: {what}" for what in ("options column must be valid JSON", "options column must be an object",
+                                                                       "pubsub section must be an object")}
 
 
 def test_typed_fields(spark):
@@ -139,11 +188,22 @@ def test_sqs_fields(spark):
 
 
 def test_timestamps(spark):
-    values = ["2026-06-23T12:00:00+02:00", "2026-06-23 12:00:00", "2026-06-23 12:00:00.123456", "2026-06-23T12:00:00.5Z", "", "not-a-time", None,
-              "2026-06-23", "2026", "2026-06-23T12:00:00"]
-    df = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "n int, v string")
-    found = [r[0] for r in df.orderBy("n").selectExpr(f"date_format({as_timestamp('v', df.schema['v'].dataType)}, 'HH:mm:ss.SSSSSS')").collect()]
-    assert found == ["10:00:00.000000", "12:00:00.000000", "12:00:00.123456", "12:00:00.500000"] + [None] * 6
+    """Random instants in the accepted layouts against the instants themselves; anything shorter or longer is none."""
+    rng, values, wanted = random.Random(24), [None], [None]
+    for _ in range(200):
+        moment = datetime(rng.randint(1990, 2090), rng.randint(1, 12), rng.randint(1, 28), rng.randrange(24), rng.randrange(60), rng.randrange(60),
+                          rng.choice([0, 0, rng.randrange(10**6)]), timezone.utc)
+        offset = rng.choice([None, 0, rng.randrange(-11, 12) * 60 + rng.choice([0, 30])])
+        local = moment if offset is None else moment.astimezone(timezone(timedelta(minutes=offset)))
+        fraction = f".{moment.microsecond:06d}".rstrip("0") if moment.microsecond else ""
+        zone = "" if offset is None else "Z" if offset == 0 else f"{'-' if offset < 0 else '+'}{abs(offset) // 60:02d}:{abs(offset) % 60:02d}"
+        text = f"{local:%Y-%m-%d}{' ' if offset is None else 'T'}{local:%H:%M:%S}{fraction}{zone}"
+        broken = rng.choice([None, None, text[:10], text[:4], text[:13], "at " + text, text + " x", text.replace("-", "/"), text.replace(" ", "T") if offset is None else text[:19], ""])
+        values.append(text if broken is None else broken)
+        wanted.append(None if broken is not None else (moment - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1))
+    df = spark.createDataFrame(list(enumerate(values)), "n int, v string")
+    found = [r[0] for r in df.orderBy("n").selectExpr(f"unix_micros({as_timestamp('v', df.schema['v'].dataType)})").collect()]
+    assert found == wanted
 
 
 def test_safe_ids(spark):

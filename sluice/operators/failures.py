@@ -179,7 +179,8 @@ def _walk(summaries: DataFrame, width: int) -> DataFrame:
             .mapInPandas(lambda frames: _carry(frames, width), WALKED))
 
 
-def suppress_step(records: DataFrame, window: timedelta, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def suppress_step(records: DataFrame, window: timedelta, state: DataFrame | None = None,
+                  lateness: timedelta | None = None) -> tuple[DataFrame, DataFrame]:
     """Emitted records, and the silence left behind per signature.
 
     ``records`` holds (signature, at, id); ``state`` is what the step over all
@@ -217,6 +218,9 @@ def suppress_step(records: DataFrame, window: timedelta, state: DataFrame | None
         .selectExpr("signature", "s.after_at AS state_at", "s.after_pending AS state_pending")
     if state is not None:
         left = left.unionByName(state.select(left.columns).join(left.select("signature"), "signature", "left_anti"))
+    if lateness is not None:
+        newest = instants.agg(F.max("at")).scalar()
+        left = left.filter((F.col("state_pending") > 0) | newest.isNull() | (F.col("state_at") > newest - F.lit(micros(lateness))))
     return emitted.withColumn("at", F.timestamp_micros("at")), left
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sluice.config import PUBSUB
+from sluice.config import PUBSUB, SQS
 from sluice.functions import options as O, pubsub, sqs
 from sluice.functions.once import compute_once
 from sluice.operators.routing import routable_events
@@ -243,9 +243,38 @@ def _(spark, d):
     return entries(spark, d).filter("reason IS NOT NULL AND rejected_field IS NULL").select("id", "reason")
 
 
+OBJECTS = ['{"a":1,"b":"x"}', "[1]", '"text"', "null", "7", "{}", '{"a":{"b":2}}']
+
+
+@query("option_object_errors", f"""
+SELECT id, target, CAST(CASE WHEN json_type(j, path) = 'OBJECT' THEN len(json_keys(j, path)) END AS BIGINT) AS entries,
+       CASE WHEN coalesce(json_type(j, path), 'NULL') NOT IN ('OBJECT', 'NULL') THEN 'malformed event options: attributes must be an object' END AS error
+FROM (SELECT event_id AS id, target, '$.' || target || '.attributes' AS path,
+             '{{"' || target || '":{{' || CASE WHEN event_id % 11 = 0 THEN '' ELSE '"attributes":' || {_pick_sql(OBJECTS)} END || '}}}}' AS j
+      FROM (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'pubsub' ELSE 'sqs' END AS target FROM events) e) r""")
+def _(spark, d):
+    """A typed object of either provider: its entries, or its error."""
+    given = F.when(every(11, 0, "event_id"), "").otherwise(F.concat(F.lit('"attributes":'), _pick(OBJECTS)))
+    rows = events(spark, d).withColumn("resolved_target", F.when(every(2, 0, "user_id"), PUBSUB).otherwise(SQS))
+    rows = rows.select(F.col("event_id").alias("id"), "resolved_target", F.concat(
+        F.lit('{"'), "resolved_target", F.lit('":{'), given, F.lit("}}")).alias("options"))
+    read = compute_once(rows, ["id", "resolved_target"], {"_p": O.parse_options("options")})
+    read = compute_once(read, ["id", "resolved_target"], {"_section": O.section_of("_p", "resolved_target", [PUBSUB, SQS])})
+    return read.selectExpr("id", "resolved_target AS target", f"CAST(size({O.object_value('_section', 'attributes')}) AS BIGINT) AS entries",
+                           f"{O.object_error('_section', 'attributes')} AS error")
+
+
+# The rule once more, for a reader without lookahead: no blank or control character, every % a full escape up to a ?, and a colon
+# in the first segment only in an http(s) address with a host and a path that is not just slashes.
+QUEUE_RULE = r"""queue <> '' AND NOT regexp_matches(queue, '[\x00-\x20\x7F]')
+  AND len(regexp_extract_all(split_part(queue, '?', 1), '%')) = len(regexp_extract_all(split_part(queue, '?', 1), '%[0-9A-Fa-f]{2}'))
+  AND (NOT regexp_matches(queue, '^[^/?#]*:') OR regexp_matches(queue,
+       '^[Hh][Tt][Tt][Pp][Ss]?://([^/?#@]*@)?(\[[0-9A-Za-z:.%]+\](:[0-9]*)?|[^/?#:@\[\]{}|\\^`]+(:[0-9]*)?|:[0-9]*)/+[^/?#]'))"""
+
+
 @query("sqs_queue_valid", f"""
-SELECT id, queue, n IN (0, 1, 8, 9) AS valid
-FROM (SELECT event_id AS id, event_id % {len(QUEUES)} AS n, {_pick_sql(QUEUES)} || CASE WHEN event_id % {len(QUEUES)} = 3 THEN ''
+SELECT id, queue, {QUEUE_RULE} AS valid
+FROM (SELECT event_id AS id, {_pick_sql(QUEUES)} || CASE WHEN event_id % {len(QUEUES)} = 3 THEN ''
              ELSE CAST(user_id AS VARCHAR) END AS queue FROM events) q""")
 def _(spark, d):
     suffix = F.when(every(len(QUEUES), 3, "event_id"), "").otherwise(F.col("user_id").cast("string"))

@@ -20,10 +20,12 @@ def suppress_stream(records: DataFrame, window: timedelta, tables: RelayTables,
     Each micro-batch runs the batch operator from the state its predecessor
     wrote, so a signature with most of the records is still split over tasks.
     State and emissions are replaced, not appended, when a micro-batch replays.
+    Silence that is over is dropped from the state once records are a further
+    window on, so the state follows the signatures at work, not all ever seen.
     """
     def on_batch(df: DataFrame, epoch: int) -> None:
         state = tables.read_batch("suppression_state", epoch - 1) if epoch else None
-        emitted, left = suppress_step(df, window, state)
+        emitted, left = suppress_step(df, window, state, lateness=window)
         tables.write(left, "suppression_state", epoch)
         tables.write(emitted, "emitted", epoch)
 

@@ -168,3 +168,20 @@ def test_streaming_suppression_both_forms(spark):
     stream.awaitTermination()
     keyed = spark.read.parquet(out).withColumn("at", F.timestamp_micros("at_us"))
     assert emitted(keyed) == want
+
+
+def test_silence_that_is_over_leaves_the_state(spark):
+    """Only signatures that are silent, held something back or were seen lately stay in the state; emissions are the same."""
+    window = timedelta(seconds=60)
+    parts = [[(0, 1, "a"), (0, 2, "b"), (5, 3, "b"), (1, 4, "c")], [(200, 5, "c")], [(300, 6, "b"), (301, 7, "a"), (400, 8, "c")]]
+    states, through = {}, {}
+    for lateness in (None, window):
+        state, out, sizes = None, [], []
+        for part in parts:
+            some, state = failures.suppress_step(as_frame(spark, part), window, state, lateness)
+            out += emitted(some)
+            state = spark.createDataFrame(state.collect(), state.schema)
+            sizes.append(sorted(r["signature"] for r in state.collect()))
+        states[lateness], through[lateness] = sizes, sorted(out)
+    assert through[None] == through[window]
+    assert states[None][-1] == ["a", "b", "c"] and states[window] == [["a", "b", "c"], ["b", "c"], ["a", "b", "c"]]

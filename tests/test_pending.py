@@ -15,7 +15,7 @@ from sluice.sources.pending import PendingLog
 from sluice.sources.publish import in_order
 from sluice.sources.tables import RelayTables
 from sluice.streaming.retry import SENT, deliver_in_order
-from test_relay import CFG, SQS, PUBSUB, delivered, new_relay, outbox, recorder
+from test_relay import CFG, PUBSUB, SQS, new_relay, outbox, recorder
 
 
 def ids(df):

@@ -66,7 +66,7 @@ class SuppressionProcessor(StatefulProcessor):
 def suppress_keyed(records: DataFrame, window: timedelta) -> DataFrame:
     """Streaming (signature, at_us, id, suppressed_count) of emitted records.
 
-    Needs the RocksDB state store provider.
+    Start it under ``settings(spark, KEYED_STATE)`` where the session has Spark's default state store.
     """
     width = int(window.total_seconds() * 1_000_000)
     keyed = records.select("signature", F.unix_micros("at").alias("at_us"), "id").groupBy("signature")

@@ -6,11 +6,13 @@ from dataclasses import replace
 from datetime import timedelta
 
 import pytest
+from check import compare, connect
 
 from sluice.functions.pubsub import PERMANENT_CODES
 from sluice.operators import stats
 from sluice.plans import streams
-from sluice.session import shared_dir
+from sluice.plans.catalog import load
+from sluice.session import KEYED_STATE, settings, shared_dir
 from sluice.sources.pending import PendingLog
 from sluice.sources.publish import in_order
 from sluice.sources.tables import RelayTables
@@ -144,3 +146,23 @@ def test_retry_queues_keep_time_by_themselves(spark, tmp_path):
         own = sorted((r["place"], r["id"], r["tries"]) for r in found if r["order_key"] == key)
         assert [i for _, i, _ in own] == sorted(i for _, i, _ in own) and [p for p, _, _ in own] == list(range(1, 11))
         assert all(t == (2 if i % 13 == 0 else 1) for _, i, t in own)
+
+
+def test_retry_queues_run_under_the_default_state_store(spark, tmp_path):
+    """Sessions that name no state store have one without lists and timers; the query brings its own and leaves the session as it was."""
+    spark.range(160).selectExpr(
+        "id AS event_id", "timestamp'2024-01-30 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts", "id % 3 AS user_id",
+        "IF(id % 2 = 0, 'click', 'view') AS event_type", "1.0D AS value", "'{}' AS props").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    next((tmp_path / "rows").glob("part-*")).rename(tmp_path / "events.parquet")
+    found, (store,) = load()["stream_retry_order"], KEYED_STATE
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    with settings(spark, {store: default}):
+        assert compare(spark, connect(str(tmp_path)), str(tmp_path), found.build, found.sql) is None
+        assert spark.conf.get(store) == default and spark.conf.get(streams.NO_DATA_BATCHES) == "true"
+
+
+def test_settings_come_back_after_an_error(spark):
+    with pytest.raises(ValueError), settings(spark, {streams.NO_DATA_BATCHES: "false", "sluice.test": "1"}):
+        assert spark.conf.get("sluice.test") == "1"
+        raise ValueError
+    assert spark.conf.get(streams.NO_DATA_BATCHES) == "true" and spark.conf.get("sluice.test", None) is None

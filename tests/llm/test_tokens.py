@@ -1,5 +1,6 @@
 """Token files, Elias-Fano lists and packing."""
 
+import os
 import random
 import zlib
 
@@ -9,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 
 from odd_rows import no_docs, odd_docs  # noqa: F401
 from sluice.llm import elias_fano, packing, segments, token_files
-from sluice.llm.common import scratch
+from sluice.llm.common import give_back, scratch
 from sluice.llm.tokens import Encoder, default_tokenizer
 
 
@@ -124,3 +125,17 @@ def test_packing(odd_docs, no_docs, library, group_documents):
     found = [(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows]
     assert sorted(map(str, found)) == sorted(map(str, wanted))
     assert packing.pack(no_docs, default_tokenizer()).count() == 0
+
+
+def _resident_mb() -> int:
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+
+def test_freed_memory_goes_back_to_the_system():
+    """Small pieces freed below one that stays are otherwise held by the worker for good."""
+    held = [b"x" * (400 + i % 7) for i in range(400_000)]
+    last, full = b"x" * 400, _resident_mb()
+    del held
+    give_back()
+    assert len(last) == 400 and _resident_mb() < full - 100

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm.common import bounded_parts, words, written
+from sluice.llm.common import bounded_batches, bounded_parts, giving_back, words, written
 from sluice.llm.registry import query
 
 WINDOW = 10
@@ -130,6 +130,7 @@ def _scanner(items: list[tuple[int | None, bytes, int]], window: int, max_words:
         spans = merge_spans(spans)
         return len(found), spans, sorted(i for i in ids if i is not None), byte_offsets(text, spans)
 
+    @giving_back
     def hits(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         built.extend(() if built else automata(items, window, max_words))
         for texts, spans, ids in batches:
@@ -143,6 +144,7 @@ def _scanner(items: list[tuple[int | None, bytes, int]], window: int, max_words:
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
               window: int = WINDOW, max_words: int = MAX_WORDS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """All rows and columns, with the struct ``_hits``: words, hit spans, items and byte offsets."""
+    bounded_batches(docs.sparkSession)
     text, rows = F.col(text_col).cast("binary"), docs
     spans, ids = F.lit(None).cast("array<array<int>>"), F.lit(None).cast("array<long>")
     for n, part in enumerate(bounded_parts(benchmark, item_col, item_text_col, max_bytes, MAX_ITEMS)):

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm.common import give_back, records, slices, written
+from sluice.llm.common import bounded_batches, giving_back, records, slices, written
 from sluice.llm.registry import query
 from sluice.llm.tokens import default_tokenizer, encoder
 
@@ -69,8 +69,8 @@ def first_fit_decreasing(sizes: list[int], length: int) -> tuple[list[int], list
 
 def cut(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, length: int) -> DataFrame:
     """Per document its number of ids, the checksum of each piece and its place in the task."""
+    @giving_back
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         coder, row = encoder(tokenizer), 0
         for batch in slices(batches, text_column=1):
             found, counts = coder.batch(batch.column(1).to_pylist())
@@ -80,7 +80,6 @@ def cut(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int
             yield records({"doc_id": (batch.column(0).to_pylist(), pa.int64()), "doc_tokens": (totals, pa.int64()),
                            "crcs": (crcs, pa.list_(pa.int64())), "row_key": (range(row, row + len(totals)), pa.int64())})
             row += len(totals)
-        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(encode, PIECES)
 
@@ -91,6 +90,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     Only ids, lengths and checksums are shuffled, never texts or token ids.
     """
+    bounded_batches(docs.sparkSession)
     pieces = written(cut(docs, tokenizer, id_col, text_col, end_id, length), "pieces")
     groups = max(1, -(-pieces.count() // group_documents))
     grouped = pieces.withColumn("group_no", F.expr(f"pmod(xxhash64(doc_id, doc_tokens, row_key, {seed}), {groups})"))

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sluice.llm.common import blank_words, written
+from sluice.llm.common import blank_words, bounded_batches, giving_back, written
 from sluice.llm.registry import query
 
 MAX_SHARE = 0.05
@@ -68,6 +68,7 @@ def text_stats(text: bytes | None, left: bytes | None) -> tuple[int, ...]:
             len(lines) - len(set(lines)), repeat_words(found), len(found) if left is None else len(left.split()))
 
 
+@giving_back
 def _stats(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in STATS.split(", ")]
     for texts, lefts in batches:
@@ -89,6 +90,7 @@ def frequent_lines(docs: DataFrame, text_col: str, host: Column, max_share: floa
 def judged(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE,
            min_documents: int = MIN_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
     """All rows and columns, with ``_left`` (text without frequent lines, null where whole) and the struct ``_quality``."""
+    bounded_batches(docs.sparkSession)
     host = F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit(""))
     # Stored, so that its size is known before the texts meet it: a small one is sent to them.
     frequent = written(frequent_lines(docs, text_col, host, max_share, min_documents), "frequent-lines")

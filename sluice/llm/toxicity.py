@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sluice.llm import recurrent
-from sluice.llm.common import words
+from sluice.llm.common import bounded_batches, giving_back, words
 from sluice.llm.registry import query
 
 WINDOW = 32
@@ -213,6 +213,7 @@ class _Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> Model | None:
+    bounded_batches(docs.sparkSession)
     return train(sample(docs, labels, text_col, id_col, label_col))
 
 
@@ -222,6 +223,7 @@ def score(model: Model | None, text_col: str = "text") -> Column:
         return F.lit(0.0)
 
     @F.pandas_udf("double")
+    @giving_back
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = _Scorer(model)
         for texts in batches:

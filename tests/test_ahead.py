@@ -156,3 +156,19 @@ def test_committed_batches_are_found_without_gaps(spark):
         tables.write(spark.range(1), "batch_log", n)
         assert tables.committed_after(-1) == list(range(n + 1)) and tables.committed_after(n) == []
     assert tables.committed_after(2) == [3, 4, 5, 6]
+
+
+def test_batches_leave_no_threads_behind(spark, tmp_path):
+    """A Python thread that ends leaves one in the JVM; helpers are kept, so their number does not grow with the batches."""
+    def threads():
+        return spark._jvm.java.lang.management.ManagementFactory.getThreadMXBean().getThreadInfo(
+            spark._jvm.java.lang.management.ManagementFactory.getThreadMXBean().getAllThreadIds())
+
+    def connections():
+        return sum(t is not None and "Thread-" in t.getThreadName() for t in threads())
+
+    rows = outbox(spark, [(i, "p", SQS if i % 2 else PUBSUB, "q", None) for i in range(24)])
+    relay, log, _ = drained(spark, tmp_path, rows, batch_target=4)
+    before = connections()
+    log.append(outbox(spark, [(100 + i, "p", SQS if i % 2 else PUBSUB, "q", None) for i in range(24)]), 1)
+    assert len(relay.drain_log(log)) == 6 and connections() <= before + 4
